@@ -88,38 +88,30 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def _forest(fp: np.ndarray, out: list[np.ndarray]) -> None:
-    """Spanning forest of links within one bucket; a block of rows at a time."""
+    """Connect what is linked within one bucket: an edge from each row to the first row of its part; a block of rows at a time."""
     n = len(fp)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(n)
     step = max(1, 4_000_000 // n)
-    pairs = []
-    # Rows that link to the first row need no pairs among themselves.
+    # Rows that link to the first row need no comparisons among themselves.
     near = np.bitwise_count((fp ^ fp[0]).view("<u8")) <= RADIUS
-    for i in np.flatnonzero(near)[1:].tolist():
-        root[i] = 0
-        pairs.append((0, i))
+    label[near] = 0
     rest = np.flatnonzero(~near)
     for at in range(0, len(rest), step):
         rows = rest[at : at + step]
         hit = np.bitwise_count((fp[rows][:, None] ^ fp[None, :]).view("<u8")) <= RADIUS
-        for r, c in zip(*np.nonzero(hit), strict=True):
-            i, j = int(rows[r]), int(c)
-            if i == j:
-                continue
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                pairs.append((i, j))
-    if pairs:
-        p = np.array(pairs)
-        out.append(np.stack([fp[p[:, 0]], fp[p[:, 1]]]))
+        r, c = np.nonzero(hit)
+        i = rows[r]
+        while (label[i] != label[c]).any():
+            low = np.minimum(label[i], label[c])
+            np.minimum.at(label, label[i], low)
+            np.minimum.at(label, label[c], low)
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, c, low)
+    while (label[label] != label).any():
+        label = label[label]
+    got = np.flatnonzero(label != np.arange(n))
+    if len(got):
+        out.append(np.stack([fp[label[got]], fp[got]]))
 
 
 def _bucket_edges(key: np.ndarray, fp: np.ndarray, out: list[np.ndarray]) -> None:
@@ -162,7 +154,9 @@ def links(fps: DataFrame) -> DataFrame:
             held_key, held_fp = key[last:], fp[last:]
         yield from flush(held_key, held_fp)
 
-    dealt = variants(fps).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    # A set number of partitions: adaptive execution would put small ones together and leave cores idle.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = variants(fps).select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
