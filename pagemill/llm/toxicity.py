@@ -1,14 +1,17 @@
 """Toxic passages by maximum-scoring segments.
 
-Training documents give each unit (a word, or the first four to six letters of
+Training documents give each unit (a word, or the first four to eight letters of
 one) its log-odds of standing in a toxic document, with an informative
 Dirichlet prior from all of them; units count where the log-odds are clearly
 positive.  A text is then a sequence of scores: a word's best unit, or a small
 penalty for any other word.  One linear scan finds every maximal segment.
 Chance segments follow an extreme-value law whose parameters come from the
-clean training documents; each segment's expected number of chance
-equals decides whether it is significant, and a logistic curve on the best
-segment's tail probability and the number of significant ones gives the score.
+clean training documents: segment scores there exceed the least unit's score by
+an exponential tail, so the best of a text is Gumbel and the number above any
+score Poisson.  A text's evidence is the smallest Poisson tail probability over
+its r best segments, and a logistic curve on it and on the number of significant
+segments gives the score.  Units for calibration come from three quarters of the
+training rows, the calibration from the rest, and the final units from all.
 
 The classifier is fitted on a bounded sample of labelled rows (``train_rows``);
 every text is scored whole.
@@ -34,14 +37,16 @@ from pagemill.llm.bpe import slices
 TRAIN_ROWS = 24_000
 #: Units kept, at most, the surest first.
 MOST_UNITS = 20_000
-#: Weight of the Dirichlet prior, in documents' units.
+#: Weight of the informative part of the Dirichlet prior, in documents' units; half a count is added to each unit besides.
 PRIOR = 500.0
+#: Units in a smaller share of the toxic rows, or in under three of them, don't count.
+LEAST_SHARE = 0.005
 #: Cost of a word without a toxic unit.
 DRIFT = 0.5
 #: Segments with fewer chance equals expected than this are significant.
 EXPECTED = 0.05
 _WORDS = re.compile(r"[^\W_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -99,15 +104,21 @@ class Model:
 
     def expected(self, score: float, n: int) -> float:
         """Chance segments of at least this score in a clean text of n words."""
-        return self.scale * max(n, 1) * math.exp(-self.rate * score)
-
-    def features(self, words: list[str]) -> tuple[float, float, list[tuple[int, int, float, float]]]:
-        found = [(a, b, s, self.expected(s, len(words))) for a, b, s in self.segments(words)]
-        good = [f for f in found if f[3] <= EXPECTED]
-        if not found:
-            return 0.0, 0.0, good
-        tail = -math.expm1(-min(f[3] for f in found))
-        return min(30.0, -math.log10(max(tail, 1e-300))), math.log1p(len(good)), good
+        return self.scale * max(n, 1) * math.exp(-min(700.0, self.rate * score))
+
+    def features(self, words: list[str], found: list[tuple[int, int, float]] | None = None) -> tuple[float, float, list[tuple[int, int, float, float]]]:
+        """Evidence (-log10 of the least tail probability), log of 1 + significant segments, and those segments."""
+        found = self.segments(words) if found is None else found
+        best = 0.0
+        for r, s in enumerate(sorted((f[2] for f in found), reverse=True), 1):
+            mean = self.expected(s, len(words))
+            if mean >= r or r > 200:
+                break
+            # P(Poisson(mean) >= r) by its leading term and the geometric bound of the others.
+            term = r * (math.log(self.scale * max(len(words), 1)) - self.rate * s) - mean - math.lgamma(r + 1) - math.log1p(-mean / (r + 1))
+            best = max(best, -term / math.log(10))
+        good = [(a, b, s, e) for a, b, s in found if (e := self.expected(s, len(words))) <= EXPECTED]
+        return min(40.0, best), math.log1p(len(good)), good
 
     def score(self, x: float, y: float) -> float:
         z = self.weights[0] + self.weights[1] * x + self.weights[2] * y
@@ -128,76 +139,71 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(w.tolist())
 
 
-def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text") -> Model:
-    """Fit on all rows of ``train``, which should be bounded (see ``training_rows``).
-
-    Without rows of both labels the model knows no units and scores every text
-    by the share of toxic rows.
-    """
-    ship(train.sparkSession)
-    rows = train.select(F.col(text_col).cast("string").alias("text"), (F.col(label_col) == 1).cast("int").alias("y")).where("y IS NOT NULL")
+def _units(rows: DataFrame, n_bad: int) -> dict[str, float]:
+    """Units with clearly positive log-odds, from rows (text, y)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = ({}, Counter(), Counter())
+        seen = (Counter(), Counter())
         for batch in batches:
             for part in slices(batch, 0):
                 for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen[1 + y].update({u for w in set(words_of(t)) for u in units_of(w)})
-                if len(seen[1]) + len(seen[2]) > 500_000:
-                    yield emit(seen)
-        yield emit(seen)
-
-    def emit(seen) -> pa.RecordBatch:
-        units = list(seen[1].keys() | seen[2].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([seen[2][u] for u in units], pa.int64()), pa.array([seen[1][u] for u in units], pa.int64())], ["unit", "bad", "good"])
-        seen[1].clear()
-        seen[2].clear()
+                    seen[y].update({u for w in set(words_of(t)) for u in units_of(w)})
+                if len(seen[0]) + len(seen[1]) > 500_000:
+                    yield emit(*seen)
+        yield emit(*seen)
+
+    def emit(good: Counter, bad: Counter) -> pa.RecordBatch:
+        units = list(good.keys() | bad.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([bad[u] for u in units], pa.int64()), pa.array([good[u] for u in units], pa.int64())], ["unit", "bad", "good"])
+        good.clear()
+        bad.clear()
         return out
 
-    counts = rows.mapInArrow(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = staged(counts, "units")
+    counts = staged(rows.mapInArrow(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "units")
     totals = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    both = rows.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
-    base = math.log((both["bad"] + 0.5) / (both["good"] + 0.5))
-    if not both["bad"] or not both["good"]:
-        return Model(weights=(base, 0.0, 0.0))
     nb, ng = float(totals["bad"] or 0), float(totals["good"] or 0)
-    prior = F.lit(PRIOR) * (F.col("bad") + F.col("good")) / (nb + ng)
+    if not nb or not ng:
+        return {}
+    prior = F.lit(0.5) + F.lit(PRIOR) * (F.col("bad") + F.col("good")) / (nb + ng)
     odds = F.log((F.col("bad") + prior) / (nb + PRIOR - F.col("bad") - prior)) - F.log((F.col("good") + prior) / (ng + PRIOR - F.col("good") - prior))
     error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    sure = counts.where("bad >= 3").select("unit", odds.alias("odds"), error.alias("error")).where("odds - 2.3 * error > 0.7 AND odds > 2.0")
+    sure = counts.where(F.col("bad") >= max(3.0, LEAST_SHARE * n_bad)).select("unit", odds.alias("odds"), error.alias("error")).where("odds - 2.3 * error > 1.0 AND odds > 2.0")
     top = sure.orderBy(F.desc(F.col("odds") / F.col("error")), "unit").limit(MOST_UNITS).collect()
-    model = Model({r["unit"]: min(6.0, r["odds"]) for r in top})
-    found = _score(rows, model, keep="y").select("y", "x1", "x2", "best", "n_words", "n_hits").toArrow()  # as many rows as train has
+    return {r["unit"]: min(6.0, r["odds"]) for r in top}
+
+
+def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text") -> Model:
+    """Fit on all rows of ``train``, which should be bounded (see ``training_rows``).
+
+    Without rows of both labels the model knows no units and scores every text
+    by the share of toxic rows.
+    """
+    ship(train.sparkSession)
+    rows = train.select(F.col(text_col).cast("string").alias("text"), (F.col(label_col) == 1).cast("int").alias("y")).where("y IS NOT NULL")
+    rows = staged(rows, "training")
+    both = rows.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
+    if not both["bad"] or not both["good"]:
+        return Model(weights=(math.log((both["bad"] + 0.5) / (both["good"] + 0.5)), 0.0, 0.0))
+    aside = F.pmod(F.crc32(F.coalesce("text", F.lit(""))), F.lit(4)) == 0
+    model = Model(_units(rows.where(~aside), both["bad"] * 3 // 4))
+    rest = rows.where(aside)
+    if len({r["y"] for r in rest.select("y").distinct().collect()}) < 2:
+        rest = rows
+    found = _score(rest, model, keep="y").select("y", "n_words", F.col("segments")).toArrow()  # as many rows as train has
     y = found["y"].to_numpy().astype(float)
-    clean = y == 0
-    n_clean = max(1.0, float(found["n_words"].to_numpy()[clean].sum()))
-    hits = float(found["n_hits"].to_numpy()[clean].sum()) + 0.5
-    typical = sorted(model.units.values()) or [1.0]
-    scores = np.array(typical)[:: max(1, len(typical) // 200)]
-    chance = hits / n_clean / len(scores)
-
-    def excess(rate: float) -> float:
-        return (1 - hits / n_clean) * math.exp(-rate * DRIFT) + chance * float(np.exp(rate * scores).sum()) - 1
-
-    low, high = 1e-6, 1.0
-    while excess(high) < 0 and high < 50:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    model.rate = low
-    best = found["best"].to_numpy()[clean]
-    least = float(min(typical))
-    model.scale = (float((best >= least).sum()) + 0.5) / (n_clean * math.exp(-model.rate * least))
-    again = _score(rows, model, keep="y").select("y", "x1", "x2").toArrow()
-    x = np.stack([again["x1"].to_numpy(), again["x2"].to_numpy()], axis=1)
-    model.weights = _logistic(x, again["y"].to_numpy().astype(float))
-    return model
+    segments = [np.array(s or [], float) for s in found["segments"].to_pylist()]
+    words = found["n_words"].to_numpy()
+    least = min(model.units.values(), default=1.0)
+    chance = np.concatenate([s for s, bad in zip(segments, y, strict=True) if not bad]) if (y == 0).any() else np.empty(0)
+    model.rate = (len(chance) + 1) / (float((chance - least).sum()) + 0.7)
+    model.scale = (len(chance) + 0.5) / (max(1.0, float(words[y == 0].sum())) * math.exp(-model.rate * least))
+    x = np.array([model.features(range(n), [(0, 1, float(v)) for v in s])[:2] for n, s in zip(words.tolist(), segments, strict=True)]).reshape(-1, 2)
+    model.weights = _logistic(x, y)
+    return Model(_units(rows, both["bad"]), model.rate, model.scale, model.weights)
 
 
 def _score(docs: DataFrame, model: Model, keep: str, text_col: str = "text") -> DataFrame:
-    """(keep, x1, x2, best segment, words, hits, score, passages) of every row."""
+    """(keep, words, segment scores, score, significant passages) of every row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
@@ -209,18 +215,17 @@ def _score(docs: DataFrame, model: Model, keep: str, text_col: str = "text") ->
                 rows = []
                 for t in part.column(1).to_pylist():
                     words = words_of(t)
-                    x1, x2, good = m.features(words)
-                    hits = m.hits(words)
-                    best = max((s for _, _, s in m.segments(words)), default=0.0) if hits else 0.0
-                    rows.append((x1, x2, best, len(words), len(hits), m.score(x1, x2), [{"first_word": a, "last_word": b - 1, "score": s, "expected": e} for a, b, s, e in good]))
-                types = (pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(passage))
-                names = [keep, "x1", "x2", "best", "n_words", "n_hits", "score", "passages"]
+                    found = m.segments(words)
+                    x1, x2, good = m.features(words, found)
+                    rows.append((len(words), [f[2] for f in found], m.score(x1, x2), [{"first_word": a, "last_word": b - 1, "score": s, "expected": e} for a, b, s, e in good]))
+                types = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(passage))
+                names = [keep, "n_words", "segments", "score", "passages"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
 
     kind = dict(docs.dtypes)[keep]
     src = docs.select(keep, F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(
-        run, f"{keep} {kind}, x1 double, x2 double, best double, n_words long, n_hits long, score double, passages array<struct<first_word: int, last_word: int, score: double, expected: double>>"
+        run, f"{keep} {kind}, n_words long, segments array<double>, score double, passages array<struct<first_word: int, last_word: int, score: double, expected: double>>"
     )
 
 
