@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import ascii_words, ship, staged
@@ -74,6 +74,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _flipped(kept: Column, flips: Column) -> Column:
+    return F.transform(flips, lambda x: kept.bitwiseXOR(x))
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """(key, fp): each fingerprint with one block cleared and at most one other bit flipped; the block is part of the key."""
     fp = F.col("fp")
@@ -83,7 +87,7 @@ def variants(fps: DataFrame) -> DataFrame:
         # The cleared block has room for the block's own number.
         kept = fp.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(_signed((block + 1) << lo)))
         flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << b)) for b in range(64) if not lo <= b < hi))
-        parts.append(F.transform(flips, lambda x, kept=kept: kept.bitwiseXOR(x)))
+        parts.append(_flipped(kept, flips))
     return fps.select(fp, F.explode(F.concat(*parts)).alias("key"))
 
 
