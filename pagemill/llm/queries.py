@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, bpe, mixing, sharding, simhash, token_counts, toxicity, vector_dedup
-from pagemill.llm._common import read_table
+from pagemill.llm import ann, bpe, line_dedup, lm, mixing, sharding, simhash, token_counts, toxicity, vector_dedup
+from pagemill.llm._common import id_crc, read_table
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(read_table(spark, sf_dir, "documents"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -31,6 +35,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm.held_out(folds=10)
+    deleted = F.pmod(id_crc("doc_id"), F.lit(10)) == 1
+    docs = read_table(spark, sf_dir, "documents")
+    got = lm.score_documents(docs, ~held_out, deleted)
+    return got.select("doc_id", lm.held_out(folds=10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -54,9 +66,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,

@@ -261,3 +261,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, train_ro
         "n_words",
         "passages",
     )
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under ``threshold``; texts pass through one scan and are not shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, folds, train_rows)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for part in slices(batch, at):
+                scores = [m.score(*m.features(words_of(t))[:2]) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([s < threshold for s in scores]))
+
+    return docs.mapInArrow(run, docs.schema)
