@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import ship  # noqa: F401  the operators' modules take it from here
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known or f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = spark.sparkContext.getCheckpointDir()
+    if not path:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pagemill-')}")
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -48,17 +48,3 @@ def id_crc(col: str | Column) -> Column:
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context; their Python finds it wherever it starts."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pagemill_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(prefix="pagemill-"), "pagemill_package.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(at)
-    sc._pagemill_shipped = True
