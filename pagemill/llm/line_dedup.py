@@ -49,11 +49,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("words", words_of(F.col("words")))
 
 
-def rarity_table(lines: DataFrame) -> bytearray:
+def rarity_table(docs: DataFrame) -> bytearray:
     """A byte for each counter: half-octave class of its tokens' count. COUNTERS bytes, whatever the data."""
     counter = F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    seen = lines.select(F.explode("words").alias("w")).groupBy(counter.alias("i")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("n"))
+    words = F.split(F.translate(F.lower(F.col("text").cast("string")), "\n\t\r\x0b\x0c", "     "), " ")
+    seen = docs.select(F.explode(words).alias("w")).groupBy(counter.alias("i")).agg(F.count("*").alias("n"))
+    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("n"))
     both = seen.unionByName(every).groupBy("i").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(126), F.round(F.log2(F.col("n") + 1) * 2)).cast("int")
     cell = F.struct(F.col("i"), F.lpad(F.hex(level), 2, "0").alias("x"))
@@ -66,20 +67,23 @@ def _overlap(m: Column, n: Column, t: float) -> Column:
     return F.ceil((m + n) * t / (1 + t) - 1e-9)
 
 
-def token_sets(lines: DataFrame, table: bytearray, threshold: float) -> DataFrame:
-    """Lines with ``toks`` (int, rarest first), size m, parity words, class signature."""
+def token_sets(lines: DataFrame, table: bytearray) -> DataFrame:
+    """Lines with ``toks`` (int, rarest first), size m, parity words, class signature.
+
+    No filter stands here: it would be pushed below the sets and work them out twice.
+    """
     shared = F.lit(bytes(table))
     small = lambda h: F.ascii(F.substring(shared, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, 1).cast("string"))
-    code = lambda w: F.shiftleft(small(F.xxhash64(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    sets = lines.where(F.size("words") >= LEAST_TOKENS).withColumn("codes", F.sort_array(F.transform(F.array_distinct("words"), code)))
-    sets = sets.where(F.size("codes") >= LEAST_TOKENS)
+    code = lambda h: F.shiftleft(small(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    sets = lines.withColumn("codes", F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), code)))
     bare = lambda x: (x.bitwiseAND(F.lit(_MASK32)) - F.lit(1 << 31)).cast("int")
-    sets = sets.select("doc_id", "ver", "line", F.transform("codes", bare).alias("toks"), F.xxhash64("codes").alias("sig"))
-    one = F.lit(1).cast("long")
-    parity = lambda k: F.aggregate(
-        "toks", F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == k, acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63))))).otherwise(acc)
-    )
-    return sets.select("doc_id", "ver", "line", "toks", "sig", F.size("toks").alias("m"), parity(0).alias("s0"), parity(1).alias("s1"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    shift = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
+    both = F.aggregate("codes", zero, lambda acc, x: acc.bitwiseXOR(shift(one, x)))
+    odd = F.aggregate("codes", zero, lambda acc, x: acc.bitwiseXOR(shift(F.shiftright(x, 6).bitwiseAND(one), x)))
+    sets = sets.select("doc_id", "ver", "line", F.transform("codes", bare).alias("toks"), F.xxhash64("codes").alias("sig"), F.size("codes").alias("m"), both.alias("s0"), odd.alias("s1"))
+    # Parity over tokens whose seventh bit is 0 is the parity of all less that of the others.
+    return sets.withColumn("s0", F.col("s0").bitwiseXOR(F.col("s1")))
 
 
 def _similar(a: str, b: str, t: float) -> Column:
@@ -104,9 +108,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
-    lines = lines_of(docs)
-    table = rarity_table(lines)
-    sets = staged(token_sets(lines, table, threshold), "lines")
+    table = rarity_table(docs)
+    sets = staged(token_sets(lines_of(docs), table), "lines").where(F.col("m") >= LEAST_TOKENS)
     place = F.struct("doc_id", "ver", "line")
     reps = sets.groupBy("sig").agg(F.min(place).alias("at"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1)).alias("prefix"))
     reps = staged(reps, "classes")
