@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def rule(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run a rule over the Parquet tables of a folder."""
     body = RULES[name](SPARK)
-    used = [t for t in _TABLES if t in body.replace("_", " ").replace("(", " ").replace(")", " ").split()]
+    used = [t for t in _TABLES if t in re.findall(r"\w+", body)]
     with_ = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used)
     return spark.sql(f"WITH {with_} {body}")
 
@@ -561,5 +562,7 @@ def nav_counts(d: Dialect) -> str:
     return f"SELECT user_id, url, sum(n_out) AS n_out, sum(n_in) AS n_in, sum(servers) AS servers FROM ({out} UNION ALL {inn} UNION ALL {srv}) g_u GROUP BY user_id, url"
 
 
+from pagemill.plans import records  # noqa: E402, F401  adds its rules
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query(name) for name in RULES}
 ORACLE_SQL: dict[str, str] = {name: oracle(name) for name in RULES}
