@@ -12,19 +12,18 @@ the threshold.  Lines of under five tokens are left alone.
    m - ceil(t m) + 1 tokens, so classes are posted under those.  Postings that
    meet pass the length filter, the positional filter, and a bound on the
    symmetric difference from 128 parity bits.
-4. Each class first meets only the earliest class of each of its tokens, which
-   settles groups of near copies with one comparison a member; the classes left
-   then meet all earlier ones.
-5. Candidates are verified on the whole token sets.
+4. Where a class passes the filters with the earliest class of a token, it meets
+   that one only, which settles groups of near copies with one pair a member;
+   else it meets every earlier class of the token.
+5. Candidates are verified on the whole token sets; a class for which none holds
+   meets all earlier ones after all.
 
 Tokens are identified by 32 bits of a hash in the stored sets.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import staged
@@ -34,6 +33,8 @@ LEAST_TOKENS = 5
 #: Counters of the frequency table; a power of two.
 COUNTERS = 1 << 20
 _BLOCK = 1 << 12
+#: Classes whose postings may be broadcast.
+SMALL_CLASSES = 2_000
 _MASK32 = (1 << 32) - 1
 
 
@@ -89,39 +90,57 @@ def token_sets(lines: DataFrame, table: bytearray) -> DataFrame:
 def _similar(a: str, b: str, t: float) -> Column:
     """Length, positional and parity filters on two postings of one token."""
     col = F.col
-    m, n, i, j = col(f"{a}.m"), col(f"{b}.m"), col(f"{a}.i"), col(f"{b}.i")
+    m, n, i, j = col(f"{a}m"), col(f"{b}m"), col(f"{a}i"), col(f"{b}i")
     need = _overlap(m, n, t)
-    apart = F.bit_count(col(f"{a}.s0").bitwiseXOR(col(f"{b}.s0"))) + F.bit_count(col(f"{a}.s1").bitwiseXOR(col(f"{b}.s1")))
+    apart = F.bit_count(col(f"{a}s0").bitwiseXOR(col(f"{b}s0"))) + F.bit_count(col(f"{a}s1").bitwiseXOR(col(f"{b}s1")))
     return (F.least(m, n) >= F.greatest(m, n) * t - 1e-9) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= need) & (apart <= m + n - 2 * need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Classes ``late`` of pairs (late, early) whose whole sets are similar."""
-    pairs = staged(pairs.distinct(), "pairs")
+    """Classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that."""
     needed = pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct()
-    own = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"))
+    own = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"), F.min(F.struct("doc_id", "ver", "line")).alias("at"))
     own = staged(own, "sets")
-    both = pairs.join(own.select(F.col("sig").alias("late"), F.col("toks").alias("x")), "late").join(own.select(F.col("sig").alias("early"), F.col("toks").alias("y")), "early")
+    left = own.select(F.col("sig").alias("late"), F.col("toks").alias("x"), F.col("at").alias("late_at"))
+    right = own.select(F.col("sig").alias("early"), F.col("toks").alias("y"), F.col("at").alias("early_at"))
+    both = pairs.join(left, "late").join(right, "early").where("early_at < late_at")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("late").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
+    spark = docs.sparkSession
     table = rarity_table(docs)
     sets = staged(token_sets(lines_of(docs), table), "lines").where(F.col("m") >= LEAST_TOKENS)
-    place = F.struct("doc_id", "ver", "line")
-    reps = sets.groupBy("sig").agg(F.min(place).alias("at"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1)).alias("prefix"))
-    reps = staged(reps, "classes")
-    firsts = reps.select("sig", F.col("at").alias("first"))
-    post = reps.select("sig", "at", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok"))
-    hub = post.groupBy("tok").agg(F.count("*").alias("n"), F.min(F.struct("at", "sig", "m", "i", "s0", "s1")).alias("hub")).where("n > 1").select("tok", "hub.*")
-    met = post.alias("a").join(hub.alias("b"), "tok").where((F.col("a.sig") != F.col("b.sig")) & _similar("a", "b", threshold))
-    gone = staged(_verified(met.select(F.col("a.sig").alias("late"), F.col("b.sig").alias("early")), sets, threshold), "gone")
-    left = post.join(gone.select(F.col("late").alias("sig")), "sig", "left_anti")
-    rest = left.alias("a").join(post.alias("b"), "tok").where((F.col("b.at") < F.col("a.at")) & _similar("a", "b", threshold))
-    more = _verified(rest.select(F.col("a.sig").alias("late"), F.col("b.sig").alias("early")), sets, threshold)
-    all_gone = gone.unionByName(more).select(F.col("late").alias("sig"), F.lit(True).alias("gone"))
+    length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
+    reps = sets.groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), length)).alias("prefix"))
+    # One exchange on the token serves the window and both sides of the join.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    post = reps.select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok")).repartition(parts, "tok")
+    hub = F.min(F.struct("doc", "sig", "m", "i", "s0", "s1")).over(Window.partitionBy("tok"))
+    late = post.withColumn("hub", hub)
+    late = late.select(*(F.col(c).alias(f"a_{c}") for c in post.columns), F.col("hub.sig").alias("hub"), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("m", "i", "s0", "s1")))
+    late = late.withColumn("near", (F.col("hub") != F.col("a_sig")) & _similar("a_", "h_", threshold))
+    early = post.select(*(F.col(c).alias(f"b_{c}") for c in post.columns))
+    before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
+    met = late.join(early, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold) & (~F.col("near") | (F.col("b_sig") == F.col("hub"))))
+    pairs = staged(met.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct(), "pairs")
+    gone = staged(_verified(pairs, sets, threshold), "gone")
+    # Classes that passed the filters with some hub but were not verified may have missed others: they meet all earlier ones.
+    open_ = staged(pairs.select("late").distinct().join(gone, "late", "left_anti").select(F.col("late").alias("sig")), "open")
+    if open_.head(1):
+        again = reps.join(open_, "sig", "left_semi").select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok"))
+        again = again.select(*(F.col(c).alias(f"a_{c}") for c in again.columns))
+        other = reps.select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok"))
+        other = other.select(*(F.col(c).alias(f"b_{c}") for c in other.columns))
+        if open_.count() <= SMALL_CLASSES:
+            again = F.broadcast(again)  # its size has just been checked
+        rest = again.join(other, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold))
+        rest = rest.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct().join(pairs, ["late", "early"], "left_anti")
+        gone = gone.unionByName(_verified(staged(rest, "pairs"), sets, threshold))
+    firsts = sets.groupBy("sig").agg(F.min(F.struct("doc_id", "ver", "line")).alias("first"))
+    all_gone = gone.distinct().select(F.col("late").alias("sig"), F.lit(True).alias("gone"))
     own = sets.select("doc_id", "ver", "line", "sig").join(firsts, "sig").join(all_gone, "sig", "left")
     return own.where(F.col("gone").isNotNull() | (F.struct("doc_id", "ver", "line") != F.col("first"))).select("doc_id", "ver", "line")
 
