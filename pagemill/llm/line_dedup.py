@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that."""
     needed = pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct()
     own = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"), F.min(F.struct("doc_id", "ver", "line")).alias("at"))
-    own = staged(own, "sets")
+    own = staged(own, "sets", "zstd")
     left = own.select(F.col("sig").alias("late"), F.col("toks").alias("x"), F.col("at").alias("late_at"))
     right = own.select(F.col("sig").alias("early"), F.col("toks").alias("y"), F.col("at").alias("early_at"))
     both = pairs.join(left, "late").join(right, "early").where("early_at < late_at")
@@ -112,7 +112,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
     spark = docs.sparkSession
     table = rarity_table(docs)
-    sets = staged(token_sets(lines_of(docs), table), "lines").where(F.col("m") >= LEAST_TOKENS)
+    sets = staged(token_sets(lines_of(docs), table), "lines", "zstd").where(F.col("m") >= LEAST_TOKENS)
     length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
     reps = sets.groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), length)).alias("prefix"))
     # One exchange on the token serves the window and both sides of the join.
