@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import staged
 
 
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` with the parts of each i and j joined; every entry is the smallest index of its part.
+
+    Only roots are hooked, to smaller roots, so nothing that was joined before comes apart.
+    """
+    while True:
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b: long); component is the smallest node reachable.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm._common import ascii_words, ship, staged
 from pagemill.llm.bpe import slices
-from pagemill.llm.graph import connected_components
+from pagemill.llm.graph import connected_components, merge
 
 RADIUS = 3
 #: Bits of the three blocks, low to high.
@@ -104,15 +104,7 @@ def _forest(fp: np.ndarray, out: list[np.ndarray]) -> None:
         rows = rest[at : at + step]
         hit = np.bitwise_count((fp[rows][:, None] ^ fp[None, :]).view("<u8")) <= RADIUS
         r, c = np.nonzero(hit)
-        i = rows[r]
-        while (label[i] != label[c]).any():
-            low = np.minimum(label[i], label[c])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[c], low)
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, c, low)
-    while (label[label] != label).any():
-        label = label[label]
+        label = merge(label, rows[r], c)
     got = np.flatnonzero(label != np.arange(n))
     if len(got):
         out.append(np.stack([fp[label[got]], fp[got]]))

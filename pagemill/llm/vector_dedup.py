@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import ship, staged
-from pagemill.llm.graph import connected_components
+from pagemill.llm.graph import connected_components, merge
 from pagemill.llm.vectors import dimension, matrix, usable
 
 #: Rows of a block; a task holds two.
@@ -195,16 +195,7 @@ def near_duplicates(
                 i, j = i[keep], j[keep]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            while True:  # the smallest root on either side, until both ends agree
-                low = np.minimum(label[i], label[j])
-                if (label[i] == label[j]).all():
-                    break
-                np.minimum.at(label, label[i].copy(), low)
-                np.minimum.at(label, label[j].copy(), low)
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-        while (label[label] != label).any():
-            label = label[label]
+            label = merge(label, i, j)
         got = np.flatnonzero(links)
         return pa.table({"rep": rep[got], "links": links[got], "root": rep[label[got]]})
 

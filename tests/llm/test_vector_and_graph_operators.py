@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, sharding, vector_dedup
-from pagemill.llm.graph import connected_components
+from pagemill.llm import ann, sharding, simhash, vector_dedup
+from pagemill.llm.graph import connected_components, merge
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,70 @@ def test_vector_links(spark, vectors):
     assert vector_dedup.near_duplicates(table(spark, vectors[:0])).count() == 0
 
 
+def chains(n, length, dims=16, cosine=0.92):
+    """Unit vectors in chains: each has ``cosine`` with the one before; in random order."""
+    rng = np.random.default_rng(11)
+    x = np.empty((n, dims))
+    for i in range(n):
+        v = rng.normal(size=dims)
+        if i % length:
+            p = x[i - 1]
+            v -= (v @ p) * p
+            x[i] = cosine * p + np.sqrt(1 - cosine**2) * v / np.linalg.norm(v)
+        else:
+            x[i] = v / np.linalg.norm(v)
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+def smallest(n, pairs):
+    """The smallest index of each one's part, by union-find."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_vector_chains_across_tiles(spark):
+    x = chains(5000, 40, 24)
+    assert len(x) > 4 * vector_dedup.TILE_ROWS  # one block, several tiles a side
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    pairs = [(s + int(i), int(j)) for s in range(0, 5000, 1000) for i, j in zip(*np.nonzero(u[s : s + 1000] @ u.T >= 0.9), strict=True)]
+    want = smallest(5000, pairs)
+    for block_rows in (8192, 2500):
+        got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(table(spark, x), block_rows=block_rows).collect()}
+        assert [got[i]["component_id"] for i in range(5000)] == want
+        assert all(got[i]["kept"] == (want[i] == i) for i in range(5000))
+
+
+def test_merge_keeps_earlier_links():
+    label = np.arange(8)
+    for i, j in ((5, 3), (3, 2), (5, 1), (7, 6), (6, 2)):
+        label = merge(label, np.array([i]), np.array([j]))
+    assert label.tolist() == [0, 1, 1, 1, 4, 1, 1, 1]
+
+
+def test_simhash_forest_over_several_row_blocks():
+    rng = np.random.default_rng(12)
+    fp = np.empty(5000, np.uint64)
+    for i in range(5000):  # chains of 25 that differ in three bits from link to link
+        fp[i] = rng.integers(0, 2**63, dtype=np.uint64) if i % 25 == 0 else fp[i - 1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+    fp = np.unique(fp)[rng.permutation(len(np.unique(fp)))].view(np.int64)
+    pairs = [(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count((fp[i] ^ fp).view("<u8")) <= 3)]
+    out = []
+    simhash._forest(fp, out)
+    at = {int(f): i for i, f in enumerate(fp)}
+    edges = [(at[int(a)], at[int(b)]) for a, b in zip(*out[0], strict=True)]
+    assert smallest(len(fp), edges) == smallest(len(fp), pairs)
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
