@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by vantage-point trees per shard.
 
 Rows are dealt to shards by a hash of their id, and each shard's tree is built
-where its queries are searched.  Largest inner product becomes nearest
-distance by one more component that makes all rows of a shard equally long.
+where its queries are searched.  Trees stand over directions, and each subtree
+knows its greatest length: a row of at most that length reaches the query's
+present k-th inner product only within some distance of the query's direction.
 A subtree is skipped where the triangle inequality shows that it lies beyond
-``factor`` times the query's present k-th distance; factor one restores exact
-search, smaller factors skip more.
+``factor`` times that distance; factor one restores exact search, smaller
+factors skip more.  Lengths may differ as they like.
 
 Shards and query blocks have bounded sizes, whatever the table's.
 """
@@ -29,51 +30,63 @@ BLOCK_ROWS = 8192
 LEAF = 256
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without squares that leave the range of doubles."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
 class VpTree:
-    """Vantage-point tree over rows of equal Euclidean length; searches whole batches of queries."""
+    """Vantage-point tree over the directions of rows; searches whole batches of queries for largest inner product."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 7) -> None:
         self.points = points
+        self.lengths = _lengths(points)
+        self.unit = points / self.lengths[:, None]
         self.rng = np.random.default_rng(seed)
         self.leaf = leaf
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray):
+        """(greatest length, rows), or (greatest length, vantage, middle, inner, outer)."""
+        longest = float(self.lengths[rows].max())
         if len(rows) <= self.leaf:
-            return rows
+            return longest, rows
         vantage = rows[self.rng.integers(len(rows))]
-        gap = np.sqrt(np.maximum(((self.points[rows] - self.points[vantage]) ** 2).sum(1), 0))
+        gap = np.sqrt(np.maximum(((self.unit[rows] - self.unit[vantage]) ** 2).sum(1), 0))
         middle = float(np.median(gap))
         inside = gap < middle
         if not inside.any() or inside.all():  # equal distances: no vantage point parts them
-            return rows
-        return vantage, middle, self._build(rows[inside]), self._build(rows[~inside])
+            return longest, rows
+        return longest, vantage, middle, self._build(rows[inside]), self._build(rows[~inside])
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(squared distances, rows), k for each query, unordered; missing ones have row -1."""
-        best = np.full((len(queries), k), np.inf)
+        """(inner products with the queries' directions, rows), k for each query, unordered; missing ones have row -1."""
+        best = np.full((len(queries), k), -np.inf)
         rows = np.full((len(queries), k), -1)
-        norms = (queries**2).sum(1)
-        lengths = (self.points**2).sum(1)
+        asks = queries / _lengths(queries)[:, None]
 
         def visit(node, at: np.ndarray) -> None:
             if not len(at):
                 return
-            if isinstance(node, np.ndarray):
-                gap = norms[at][:, None] + lengths[node][None, :] - 2 * (queries[at] @ self.points[node].T)
-                cand = np.concatenate([best[at], gap], axis=1)
-                ids = np.concatenate([rows[at], np.broadcast_to(node, (len(at), len(node)))], axis=1)
-                top = np.argpartition(cand, k - 1, axis=1)[:, :k]
+            if len(node) == 2:
+                found = node[1]
+                cand = np.concatenate([best[at], asks[at] @ self.points[found].T], axis=1)
+                ids = np.concatenate([rows[at], np.broadcast_to(found, (len(at), len(found)))], axis=1)
+                top = np.argpartition(-cand, k - 1, axis=1)[:, :k]
                 best[at] = np.take_along_axis(cand, top, 1)
                 rows[at] = np.take_along_axis(ids, top, 1)
                 return
-            vantage, middle, inner, outer = node
-            gap = np.sqrt(np.maximum(((queries[at] - self.points[vantage]) ** 2).sum(1), 0))
+            _, vantage, middle, inner, outer = node
+            gap = np.sqrt(np.maximum(((asks[at] - self.unit[vantage]) ** 2).sum(1), 0))
             near = gap < middle
             for side, first, second in ((near, inner, outer), (~near, outer, inner)):
                 some = at[side]
                 visit(first, some)
-                reach = factor * np.sqrt(np.maximum(best[some].max(1), 0))
+                worst = best[some].min(1)
+                # A negative k-th product bounds no direction: any row may pass it by being short.
+                reach = np.where(worst < 0, np.inf, factor * np.sqrt(np.maximum(2 - 2 * np.maximum(worst, 0) / second[0], 0) + 1e-12))
+                reach[worst > second[0] * (1 + 1e-9)] = -1.0  # too short in any direction
                 visit(second, some[np.abs(middle - gap[side]) <= reach])
 
         visit(self.root, np.arange(len(queries)))
@@ -94,10 +107,8 @@ def _shard_search(ids: np.ndarray, vecs: np.ndarray, qids: np.ndarray, qvecs: np
     by = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[by], np.arange(len(points)))
     ends = np.append(starts[1:], len(by))
-    length = (points**2).sum(1)
-    lifted = np.concatenate([points, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], axis=1)
     want = min(k + 9, len(points))
-    _, rows = VpTree(lifted).search(np.concatenate([qvecs, np.zeros((len(qvecs), 1))], axis=1), want, factor)
+    _, rows = VpTree(points).search(qvecs, want, factor)
     for q, (qid, found) in enumerate(zip(qids.tolist(), rows, strict=True)):
         found = found[found >= 0]
         exact = (points[found] * qvecs[q]).sum(1)

@@ -45,6 +45,37 @@ def test_nearest(spark, vectors):
     assert ann.nearest(table(spark, vectors[:0], BAD), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["equal", "lognormal", "some long", "one long", "one short", "clusters", "clusters, lognormal"])
+def test_nearest_recall_with_unequal_lengths(kind):
+    rng = np.random.default_rng(13)
+    n, dims, k = 16 * ann.LEAF, 64, 20
+    x = rng.normal(size=(n, dims))
+    if kind.startswith("clusters"):
+        x = rng.normal(size=(64, dims))[rng.integers(0, 64, n)] + 0.7 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind.endswith("lognormal"):
+        x *= rng.lognormal(0, 0.5, n)[:, None]
+    elif kind == "some long":
+        x[rng.random(n) < 0.01] *= 3
+    elif kind == "one long":
+        x[17] *= 3
+    elif kind == "one short":
+        x[17] *= 1e-3
+    qids = np.arange(0, n, 40)
+    for factor, least in ((1.0, 1.0), (ann.FACTOR, 0.98)):
+        got = {}
+        for q, v, s in ann._shard_search(np.arange(n), x, qids, 5 * x[qids], k, factor):
+            got.setdefault(q, set()).add(v)
+            assert s == pytest.approx(5 * (x[v] @ x[q]), rel=1e-9, abs=1e-12)
+        hits = 0
+        for q in qids.tolist():
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-score)[:k].tolist()))
+        print(kind, factor, hits / (k * len(qids)))
+        assert hits / (k * len(qids)) >= least
+
+
 def test_vector_links(spark, vectors):
     x = vectors.astype(float)
     u = x / np.linalg.norm(x, axis=1)[:, None]
