@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.session import ship  # noqa: F401  the operators' modules take it from here
+from pagemill.session import shared_dir, ship, staged  # noqa: F401  the operators' modules take it from here
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pagemill-')}")
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions so that each holds about ``per_partition`` rows, and every core has some."""
     return max(1, -(-rows // per_partition))

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import staged
+
+
+#: Rounds between two writes of all pages seen so far.
+_GATHERED_ROUNDS = 16
+
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, most_depth: int = 6) -> DataFrame:
-    """(graph, url, depth, path) of every page reachable from its graph's root in ``most_depth`` steps.
+def shortest_paths(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(graph, url, depth, path) of every page reachable from its graph's root, in ``most_depth`` steps if that is given.
 
     ``edges``: graph, from_url, to_url, seq; ``roots``: graph, url.  Among paths
     of equal length the one whose edges come first is taken: by the sequence of
-    their edge numbers.  Pages out of reach have no row.
+    their edge numbers.  Pages out of reach have no row.  Each round is written
+    to the shared folder; the search ends when a round finds no new page.
     """
     seen = roots.select("graph", "url", F.lit(0).alias("depth"), F.array("url").alias("path"), F.array().cast("array<bigint>").alias("order"))
-    frontier = seen
-    steps = edges.select("graph", "from_url", "to_url", F.col("seq").cast("long").alias("seq"))
-    for depth in range(1, most_depth + 1):
+    frontier = seen = staged(seen, "paths")
+    steps = staged(edges.select("graph", "from_url", "to_url", F.col("seq").cast("long").alias("seq")), "steps")
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         nxt = frontier.join(steps, (frontier["graph"] == steps["graph"]) & (frontier["url"] == steps["from_url"])).select(
             frontier["graph"], F.col("to_url").alias("url"), F.lit(depth).alias("depth"), F.concat("path", F.array("to_url")).alias("path"), F.concat("order", F.array("seq")).alias("order")
         )
         best = nxt.groupBy("graph", "url").agg(F.min_by(F.struct("depth", "path", "order"), "order").alias("b")).select("graph", "url", "b.*")
-        frontier = best.join(seen.select("graph", "url"), ["graph", "url"], "left_anti")
+        frontier = staged(best.join(seen.select("graph", "url"), ["graph", "url"], "left_anti"), "paths")
+        if not frontier.head(1):
+            break
         seen = seen.unionByName(frontier)
+        if depth % _GATHERED_ROUNDS == 0:
+            seen = staged(seen, "paths")
     return seen.select("graph", "url", "depth", "path")
 
 

@@ -14,6 +14,7 @@ from pagemill.session import ship
 from pagemill.sources import html
 from pagemill.sources import views as V
 
+#: Steps that the DuckDB SQL of nav_depth takes; the query itself has no bound.
 MOST_DEPTH = 3
 
 
@@ -54,10 +55,10 @@ def _roots(d: Dialect) -> str:
 
 
 def nav_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least depth of each page within three steps of the root, and the first shortest path."""
+    """Least depth of each page that the root reaches, and the first shortest path."""
     edges = Q.run("nav_edges", spark, sf_dir).withColumnRenamed("user_id", "graph")
     roots = spark.sql(f"WITH events AS (SELECT * FROM parquet.`{sf_dir}/events.parquet`) {_roots(SPARK)}")
-    return graph.shortest_paths(edges, roots, MOST_DEPTH).select("graph", "url", "depth")
+    return graph.shortest_paths(edges, roots)
 
 
 def _nav_depth_sql() -> str:

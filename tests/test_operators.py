@@ -64,6 +64,34 @@ def test_shortest_paths(spark):
     assert got == {"r": (0, ["r"]), "a": (1, ["r", "a"]), "b": (1, ["r", "b"]), "c": (2, ["r", "a", "c"])}
 
 
+def test_nav_depth_has_no_bound(spark, sf_dir):
+    from pagemill.plans import queries, stateful
+
+    out = {}
+    for e in sorted(queries.run("nav_edges", spark, sf_dir).collect(), key=lambda r: r["seq"]):
+        out.setdefault((e["user_id"], e["from_url"]), []).append(e["to_url"])
+    want = {}
+    for (user,) in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect():
+        root = f"http://u{user}.example.com/"
+        want[user, root] = (0, [root])
+        queue = [root]
+        for url in queue:
+            for to in out.get((user, url), []):
+                if (user, to) not in want:
+                    depth, path = want[user, url]
+                    want[user, to] = (depth + 1, [*path, to])
+                    queue.append(to)
+    assert max(d for d, _ in want.values()) > 3
+    got = {(r["graph"], r["url"]): (r["depth"], r["path"]) for r in stateful.nav_depth(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_shortest_paths_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}", i) for i in range(20)] + [(1, "n20", "n0", 20)], "graph long, from_url string, to_url string, seq long")
+    got = {r["url"]: (r["depth"], len(r["path"])) for r in graph.shortest_paths(edges, spark.createDataFrame([(1, "n0")], "graph long, url string")).collect()}
+    assert got == {f"n{i}": (i, i + 1) for i in range(21)}
+
+
 def test_redirects_end_at_loops(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "from_url string, to_url string")
     starts = spark.createDataFrame([("a",), ("x",), ("z",)], "url string")
