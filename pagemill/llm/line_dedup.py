@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct lower-case words.  A line is removed if an
 earlier one, by (doc_id, line), has a token set of Jaccard similarity at least
-the threshold.  Lines of under five tokens are left alone.
+the threshold.  Lines without tokens are left alone.
 
 1. Token frequencies are counted over all lines into a table of fixed size;
    each line's tokens are ordered by rarity, ties by hash.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pagemill.llm._common import staged
 
 THRESHOLD = 0.8
-LEAST_TOKENS = 5
 #: Counters of the frequency table; a power of two.
 COUNTERS = 1 << 20
 _BLOCK = 1 << 12
@@ -112,7 +111,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
     spark = docs.sparkSession
     table = rarity_table(docs)
-    sets = staged(token_sets(lines_of(docs), table), "lines", "zstd").where(F.col("m") >= LEAST_TOKENS)
+    sets = staged(token_sets(lines_of(docs), table), "lines", "zstd").where(F.col("m") > 0)
     length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
     reps = sets.groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), length)).alias("prefix"))
     # One exchange on the token serves the window and both sides of the join.

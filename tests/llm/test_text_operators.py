@@ -114,6 +114,21 @@ def test_lines_against_brute_force(docs):
     assert sum(map(len, want.values())) > 20
 
 
+def test_short_lines_against_brute_force(docs):
+    rng = np.random.default_rng(4)
+    rows = [(d, "\n".join(" ".join(f"w{i}" for i in rng.integers(0, 7, rng.integers(0, 8))) for _ in range(6))) for d in range(12)]
+    rows += [(20, "Share this page\nhome\n\nw0 w0 w0 w0 w0 w0"), (21, "share this page\nHome\n\nw0 w0 w0 w0 w0")]
+    seen, want = [], {d: [] for d, _ in rows}
+    for d, text in rows:
+        for i, line in enumerate(text.split("\n")):
+            words = frozenset(line.lower().split())
+            if words and any(len(words & v) >= 0.8 * len(words | v) - 1e-9 for v in seen):
+                want[d].append(i)
+            seen.append(words)
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.summary(docs(rows)).collect()}
+    assert got == want and want[21] == [0, 1, 3]
+
+
 def test_lines_odd_rows(docs):
     rows = [*ODD, (7, "one two three four five\nx\nFIVE four three two one"), (8, "one two three four five six")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
