@@ -265,8 +265,10 @@ def title_similarity(d: Dialect) -> str:
 
 @rule
 def cross_source_match(d: Dialect) -> str:
-    """The best title of each source for a query, of 0.4 and more."""
-    wanted = "SELECT title AS query FROM (SELECT title, row_number() OVER (ORDER BY title) AS rn FROM (" + V.titles(d) + ") t_t) t_r WHERE rn <= 12"
+    """The best title of each source for a query, of 0.4 and more; every title is a query, but in the DuckDB SQL the first twelve."""
+    wanted = f"SELECT title AS query FROM ({V.titles(d)}) t_t"
+    if d is DUCK:
+        wanted = "SELECT title AS query FROM (SELECT title, row_number() OVER (ORDER BY title) AS rn FROM (" + V.titles(d) + ") t_t) t_r WHERE rn <= 12"
     scored = f"SELECT q.query, c.source, c.title, c.results, {X.title_similarity(d, 'q.query', 'c.title')} AS score FROM ({V.candidates(d)}) c JOIN ({wanted}) q ON true"
     return f"SELECT query, source, title, results, score FROM (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, title) AS rn FROM ({scored}) t_s WHERE score >= 4e-1) t_k WHERE rn = 1"
 

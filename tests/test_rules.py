@@ -6,7 +6,7 @@ import pytest
 from pagemill.functions import streams as S
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.functions.dialect import SPARK, lit
+from pagemill.functions.dialect import DUCK, SPARK, lit
 from pagemill.plans import queries as Q
 
 
@@ -102,3 +102,13 @@ def test_rule_against_duckdb(spark, duck, sf_dir, name):
     got = Q.QUERIES[name](spark, sf_dir).toArrow().to_pydict()
     want = duck.sql(Q.ORACLE_SQL[name]).to_arrow_table().to_pydict()
     assert rows(got) == rows(want)
+
+
+def test_every_title_is_a_query(spark, duck, sf_dir):
+    score = X.title_similarity(DUCK, "q.title", "c.p_name")
+    every = f"SELECT q.title AS query, c.p_brand AS source, max({score}) AS score FROM (SELECT DISTINCT p_name AS title FROM part) q, (SELECT DISTINCT p_brand, p_name FROM part) c GROUP BY ALL HAVING max({score}) >= 0.4"
+    want = {(q, s): float(x) for q, s, x in duck.sql(every).fetchall()}
+    assert len({q for q, _ in want}) > 12
+    got = Q.QUERIES["cross_source_match"](spark, sf_dir).collect()
+    assert {(r["query"], r["source"]): float(r["score"]) for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert {r["query"] for r in Q.QUERIES["result_count_pick"](spark, sf_dir).collect()} == {q for q, _ in want}
