@@ -1,4 +1,4 @@
-"""Navigation graphs (G4, G5, G8): depths and shortest paths by frontier joins."""
+"""Navigation graphs (G4, G5): depths and shortest paths by frontier joins; redirect chains, which no query reaches."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, most_depth: int | None =
 
 
 def redirect_chains(hops: DataFrame, starts: DataFrame, most_hops: int = 10) -> DataFrame:
-    """(start, url, hops) at the end of each start's redirects; a loop or ``most_hops`` ends it.
+    """(start, url, hops) at the end of each start's redirects; a loop or ``most_hops`` ends it.
 
     ``hops``: from_url, to_url, each from_url once; ``starts``: url.
     """

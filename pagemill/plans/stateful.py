@@ -39,9 +39,21 @@ def throttle_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements by tag, with their type, text and selector."""
+    """Every scanned element, with its type, text, class, id, selector and attributes."""
     ship(spark)
-    return html.scan_elements(spark.read.parquet(f"{sf_dir}/pages.parquet")).where("tag = 'a'").select("page_id", "seq", "tag", "type", F.col("attr")["href"].alias("href"), "selector", "parent")
+    return html.scan_elements(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("href", F.col("attr")["href"])
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lazy images of a page in order."""
+    ship(spark)
+    return html.scan_images(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meta tags of S16: one row for each name; not its JSON-LD."""
+    ship(spark)
+    return html.scan_metadata(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "circuit_states": circuit_states,
     "throttle_delay": throttle_delay,
     "page_elements": page_elements,
+    "page_images": page_images,
+    "page_metadata": page_metadata,
     "page_urls": page_urls,
     "nav_depth": nav_depth,
 }

@@ -143,7 +143,7 @@ def images(html: str | None) -> list[tuple[str, str]]:
 
 
 def metadata(html: str | None) -> dict[str, str]:
-    """Meta names under 60 letters with contents under 200; later ones overwrite."""
+    """Meta tags of S16: names under 60 letters with contents under 200; later ones overwrite."""
     out = {}
     for n in parse(html):
         key, content = n.attr.get("property") or n.attr.get("name"), n.attr.get("content")
@@ -174,3 +174,23 @@ def scan_urls(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame([(p, i, u, k) for p, h in zip(f["page_id"], f["html"], strict=True) for i, (u, k) in enumerate(page_urls(h), 1)], columns=["page_id", "seq", "url", "kind"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, seq int, url string, kind string")
+
+
+def scan_images(pages: DataFrame) -> DataFrame:
+    """(page_id, seq, url, attribute) of pages (page_id, html)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, i, u, k) for p, h in zip(f["page_id"], f["html"], strict=True) for i, (u, k) in enumerate(images(h), 1)], columns=["page_id", "seq", "url", "attribute"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, seq int, url string, attribute string")
+
+
+def scan_metadata(pages: DataFrame) -> DataFrame:
+    """(page_id, name, content) of pages (page_id, html)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, k, v) for p, h in zip(f["page_id"], f["html"], strict=True) for k, v in metadata(h).items()], columns=["page_id", "name", "content"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, name string, content string")

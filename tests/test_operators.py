@@ -53,6 +53,20 @@ def test_elements_and_urls():
     assert html.page_urls(None) == [] and list(html.elements("")) == []
 
 
+def test_page_queries_return_every_row(spark, tmp_path):
+    from pagemill.plans import stateful
+
+    page = "<head><meta name='k' content='v'></head><body><h1 id='t'>Title</h1><form class='f'><input name='q'><button>Go</button></form><a href='/x' class='btn'>Hi</a><img data-src='http://i.com/a.jpg'></body>"
+    spark.createDataFrame([(7, "http://e.com/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = stateful.page_elements(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["tag"], r["type"], r["text"], r["class"], r["id"], r["href"]) for r in got] == [
+        ("h1", "heading", "Title", "", "t", None), ("form", "form", "Go", "f", "", None), ("input", "input", "", "", "", None),
+        ("button", "clickable", "Go", "", "", None), ("a", "link", "Hi", "btn", "", "/x"), ("img", "image", "", "", "", None),
+    ]
+    assert [tuple(r) for r in stateful.page_images(spark, str(tmp_path)).collect()] == [(7, 1, "http://i.com/a.jpg", "data-src")]
+    assert [tuple(r) for r in stateful.page_metadata(spark, str(tmp_path)).collect()] == [(7, "k", "v")]
+
+
 def test_element_cap():
     assert len(list(html.elements("<a>x</a>" * 400))) == html.MOST_ELEMENTS
 
