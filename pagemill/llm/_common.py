@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.session import shared_dir, ship, staged  # noqa: F401  the operators' modules take it from here
+from pagemill.session import shared_dir, ship, staged, unstaged  # noqa: F401  the operators' modules take it from here
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

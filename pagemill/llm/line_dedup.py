@@ -8,17 +8,20 @@ the threshold.  Lines without tokens are left alone.
    each line's tokens are ordered by rarity, ties by hash.
 2. Lines of equal token sets are one class, which stands at its first line;
    later lines of a class are removed.
-3. Two sets that are similar enough share a token among their first
-   m - ceil(t m) + 1 tokens, so classes are posted under those.  Postings that
-   meet pass the length filter, the positional filter, and a bound on the
-   symmetric difference from 128 parity bits.
-4. Where a class passes the filters with the earliest class of a token, it meets
-   that one only, which settles groups of near copies with one pair a member;
-   else it meets every earlier class of the token.
+3. Two similar sets of m and n tokens have at least ceil(t/(1+t) (m+n)) in
+   common.  Their first common token stands so early in both that as many are
+   left (positional filter), and among the first m - ceil(t m) + 1 of each
+   (prefix filter).  Classes are posted under those tokens; postings that meet
+   pass the length and positional filters and a bound on the symmetric
+   difference from parity bits.
+4. Where a posting lies close to the earliest posting of its token, or to the
+   one before it, its class meets that one only, which settles groups of near
+   copies with a pair or two a member; else it meets every earlier one.
 5. Candidates are verified on the whole token sets; a class for which none holds
-   meets all earlier ones after all.
+   although some posting took the short way meets all earlier ones after all.
 
-Tokens are identified by 32 bits of a hash in the stored sets.
+Tokens are identified by 56 bits of a hash together with their rarity, sets by
+64 bits of one.
 """
 
 from __future__ import annotations
@@ -26,40 +29,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import staged
+from pagemill.llm._common import staged, unstaged
 
 THRESHOLD = 0.8
 #: Counters of the frequency table; a power of two.
 COUNTERS = 1 << 20
 _BLOCK = 1 << 12
+#: Cells of the table that tells which sets verification needs, at most; a power of two.
+MOST_CELLS = 1 << 23
 #: Classes whose postings may be broadcast.
 SMALL_CLASSES = 2_000
-_MASK32 = (1 << 32) - 1
+#: Sets of more tokens have 128 parity bits in a posting, others 64.
+WIDE = 80
+#: Greatest size and position that a posting tells; larger ones pass the filters.
+_MOST = (1 << 15) - 1
+_LEAST_ID = -(1 << 63)
+#: Staged token lists are written by dictionary as long as it has at most so many bytes.
+_DICTIONARY = 16 << 20
+
+
+def _spaced(text: Column, marks: str) -> Column:
+    """Lower-case text with a space for each of ``marks``; cheaper than ``translate``, which maps letter by letter."""
+    out = F.lower(text)
+    for c in marks:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
 
 
 def words_of(line: Column) -> Column:
-    """Lower-case words of a line, parted by ASCII white space."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), "")
+    """Lower-case words of a line, parted by ASCII white space, and empty strings."""
+    return F.split(_spaced(line, "\t\r\x0b\x0c"), " ")
+
+
+def versions(docs: DataFrame) -> Column:
+    """Tells texts of one id apart: a hash of the text where some id repeats, else 0."""
+    again = docs.groupBy(F.col("doc_id").cast("long")).count().where("count > 1").limit(1).count()
+    return F.xxhash64(F.col("text").cast("string")) if again else F.lit(0).cast("long")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, ver, line, words); ver tells texts of one id apart. Texts without a break are one line; null texts have none."""
+def lines_of(docs: DataFrame, ver: Column) -> DataFrame:
+    """(doc_id, ver, line, words). Texts without a break are one line; null texts have none."""
     text = F.col("text").cast("string")
-    rows = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("ver"), F.posexplode(F.split(text, "\n")).alias("line", "words"))
+    rows = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), ver.alias("ver"), F.posexplode(F.split(text, "\n")).alias("line", "words"))
     return rows.withColumn("words", words_of(F.col("words")))
 
 
-def rarity_table(docs: DataFrame) -> bytearray:
-    """A byte for each counter: half-octave class of its tokens' count. COUNTERS bytes, whatever the data."""
-    counter = F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    words = F.split(F.translate(F.lower(F.col("text").cast("string")), "\n\t\r\x0b\x0c", "     "), " ")
-    seen = docs.select(F.explode(words).alias("w")).groupBy(counter.alias("i")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("n"))
-    both = seen.unionByName(every).groupBy("i").agg(F.sum("n").alias("n"))
-    level = F.least(F.lit(126), F.round(F.log2(F.col("n") + 1) * 2)).cast("int")
-    cell = F.struct(F.col("i"), F.lpad(F.hex(level), 2, "0").alias("x"))
+def _packed(cells: DataFrame, size: int) -> bytes:
+    """A byte for each cell (i: int, level: int up to 126), 0 where there is none: ``size`` bytes in all, whatever the data."""
+    every = cells.sparkSession.range(size).select(F.col("id").cast("int").alias("i"), F.lit(0).alias("level"))
+    both = cells.select("i", "level").unionByName(every).groupBy("i").agg(F.max("level").alias("level"))
+    cell = F.struct(F.col("i"), F.lpad(F.hex("level"), 2, "0").alias("x"))
     blocks = both.groupBy(F.floor(F.col("i") / _BLOCK).cast("int").alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["x"]), "").alias("x"))
-    return bytearray(b"".join(bytes.fromhex(r["x"]) for r in blocks.orderBy("block").collect()))
+    return b"".join(bytes.fromhex(r["x"]) for r in blocks.orderBy("block").collect())
+
+
+def _cell(table: bytes, h: Column) -> Column:
+    """The byte of a packed table for a hash."""
+    return F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, 1).cast("string"))
+
+
+def rarity_table(docs: DataFrame) -> bytes:
+    """A byte for each counter: half-octave class of its tokens' count."""
+    counter = F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    seen = docs.select(F.explode(F.split(_spaced(F.col("text").cast("string"), "\n\t\r\x0b\x0c"), " ")).alias("w")).groupBy(counter.alias("i")).agg(F.count("*").alias("n"))
+    return _packed(seen.select("i", F.least(F.lit(126), F.round(F.log2(F.col("n") + 1) * 2)).cast("int").alias("level")), COUNTERS)
 
 
 def _overlap(m: Column, n: Column, t: float) -> Column:
@@ -67,81 +100,132 @@ def _overlap(m: Column, n: Column, t: float) -> Column:
     return F.ceil((m + n) * t / (1 + t) - 1e-9)
 
 
-def token_sets(lines: DataFrame, table: bytearray) -> DataFrame:
-    """Lines with ``toks`` (int, rarest first), size m, parity words, class signature.
+def token_sets(lines: DataFrame, table: bytes) -> DataFrame:
+    """Lines with ``toks`` (long: rarity in the top byte, then 56 bits of a hash; rarest first) and the class signature.
 
     No filter stands here: it would be pushed below the sets and work them out twice.
     """
-    shared = F.lit(bytes(table))
-    small = lambda h: F.ascii(F.substring(shared, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, 1).cast("string"))
-    code = lambda h: F.shiftleft(small(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    sets = lines.withColumn("codes", F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), code)))
-    bare = lambda x: (x.bitwiseAND(F.lit(_MASK32)) - F.lit(1 << 31)).cast("int")
+    code = lambda h: F.shiftleft(_cell(table, h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    toks = F.sort_array(F.transform(F.array_distinct(F.transform(F.array_remove("words", ""), lambda w: F.xxhash64(w))), code))
+    return lines.withColumn("toks", toks).select("doc_id", "ver", "line", F.xxhash64("toks").alias("sig"), "toks")
+
+
+def _parities(toks: str) -> tuple[Column, Column]:
+    """128 parity bits of a token list in two words."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     shift = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
-    both = F.aggregate("codes", zero, lambda acc, x: acc.bitwiseXOR(shift(one, x)))
-    odd = F.aggregate("codes", zero, lambda acc, x: acc.bitwiseXOR(shift(F.shiftright(x, 6).bitwiseAND(one), x)))
-    sets = sets.select("doc_id", "ver", "line", F.transform("codes", bare).alias("toks"), F.xxhash64("codes").alias("sig"), F.size("codes").alias("m"), both.alias("s0"), odd.alias("s1"))
-    # Parity over tokens whose seventh bit is 0 is the parity of all less that of the others.
-    return sets.withColumn("s0", F.col("s0").bitwiseXOR(F.col("s1")))
+    every = F.aggregate(toks, zero, lambda acc, x: acc.bitwiseXOR(shift(one, x)))
+    odd = F.aggregate(toks, zero, lambda acc, x: acc.bitwiseXOR(shift(F.shiftright(x, 6).bitwiseAND(one), x)))
+    return every, odd
+
 
+def classes_of(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, at, n, m, s0, s1, prefix) of every class: its first line, lines, tokens, parities, and a 32-bit key of each prefix token.
 
-def _similar(a: str, b: str, t: float) -> Column:
-    """Length, positional and parity filters on two postings of one token."""
+    ``s0`` is the parity over 64 bits; ``s1`` splits it in 128 where there are more than WIDE tokens, and is 0 else.
+    """
+    size = F.size("toks")
+    length = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
+    every, odd = _parities("toks")
+    keys = F.transform(F.slice("toks", F.lit(1), length), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    rows = sets.where(size > 0).select("sig", F.struct("doc_id", "ver", "line").alias("at"), size.alias("m"), every.alias("s0"), F.when(size > WIDE, odd).otherwise(F.lit(0).cast("long")).alias("s1"), keys.alias("prefix"))
+    return rows.groupBy("sig").agg(F.min("at").alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("m", "s0", "s1", "prefix")))
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """(tok, mi, doc, sig, s0, s1): size and position share an int."""
+    rows = classes.select(
+        F.coalesce("at.doc_id", F.lit(_LEAST_ID)).alias("doc"), "sig", "s0", "s1", F.least("m", F.lit(_MOST)).alias("m"), F.posexplode("prefix").alias("i", "tok")
+    )
+    return rows.select("tok", F.shiftleft("m", 16).bitwiseOR(F.least("i", F.lit(_MOST))).alias("mi"), "doc", "sig", "s0", "s1")
+
+
+def _similar(a: str, b: str, t: float, closer: int = 1) -> Column:
+    """Length, positional and parity filters on two postings of one token; ``closer`` asks for so many times less of a difference."""
     col = F.col
-    m, n, i, j = col(f"{a}m"), col(f"{b}m"), col(f"{a}i"), col(f"{b}i")
+    m, n = F.shiftright(col(f"{a}mi"), 16), F.shiftright(col(f"{b}mi"), 16)
+    i, j = col(f"{a}mi").bitwiseAND(F.lit(0xFFFF)), col(f"{b}mi").bitwiseAND(F.lit(0xFFFF))
     need = _overlap(m, n, t)
-    apart = F.bit_count(col(f"{a}s0").bitwiseXOR(col(f"{b}s0"))) + F.bit_count(col(f"{a}s1").bitwiseXOR(col(f"{b}s1")))
-    return (F.least(m, n) >= F.greatest(m, n) * t - 1e-9) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= need) & (apart <= m + n - 2 * need)
+    x, y = col(f"{a}s0").bitwiseXOR(col(f"{b}s0")), col(f"{a}s1").bitwiseXOR(col(f"{b}s1"))
+    # s1 is the parity of half of the bits' tokens, and s0 that of all: the other half is their difference.
+    apart = F.when(F.least(m, n) > WIDE, F.bit_count(y) + F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x))
+    fits = (F.least(m, n) >= F.greatest(m, n) * t - 1e-9) & (F.least(m - i, n - j) >= need) & (apart * closer <= m + n - 2 * need)
+    return fits | ((F.greatest(m, n) == _MOST) & F.lit(closer == 1))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that."""
-    needed = pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct()
-    own = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"), F.min(F.struct("doc_id", "ver", "line")).alias("at"))
-    own = staged(own, "sets", "zstd")
+def candidates(classes: DataFrame, t: float) -> DataFrame:
+    """(late, early, short): classes that may be similar, once for each token; ``short`` where that token's other postings weren't met.
+
+    Window and join are on the same token: one exchange serves all.
+    """
+    post = postings(classes)
+    w = Window.partitionBy("tok").orderBy("doc", "sig")
+    own = F.struct("mi", "sig", "s0", "s1")
+    late = post.withColumn("hub", F.first(own).over(w)).withColumn("last", F.lag(own).over(w))
+    names = ("mi", "sig", "s0", "s1")
+    late = late.select(F.col("tok").alias("a_tok"), F.col("doc").alias("a_doc"), *(F.col(c).alias(f"a_{c}") for c in names), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in names), *(F.col(f"last.{c}").alias(f"l_{c}") for c in names))
+    near = lambda p: F.coalesce((F.col(f"{p}sig") != F.col("a_sig")) & _similar("a_", p, t, closer=2), F.lit(False))
+    late = late.withColumn("to", F.when(near("h_"), F.col("h_sig")).when(near("l_"), F.col("l_sig"))).drop(*(f"{p}_{c}" for c in names for p in "hl"))
+    early = post.select(F.col("tok").alias("b_tok"), F.col("doc").alias("b_doc"), *(F.col(c).alias(f"b_{c}") for c in names))
+    met = late.join(early, F.col("a_tok") == F.col("b_tok"))
+    # A posting with a shortcut meets itself once, which carries the shortcut out.
+    meets = F.when(F.col("to").isNull(), (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig")) & _similar("a_", "b_", t)).otherwise(F.col("b_sig") == F.col("a_sig"))
+    return met.where(meets).select(F.col("a_sig").alias("late"), F.coalesce("to", "b_sig").alias("early"), F.col("to").isNotNull().alias("short"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Staged classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that.
+
+    Sets that no pair needs are mostly left out, by a table of hashes, before any are shuffled.
+    """
+    needed = staged(pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct(), "needed")
+    size = 1 << min(MOST_CELLS, max(1 << 12, 8 * needed.count())).bit_length() - 1
+    table = _packed(needed.select(F.col("sig").bitwiseAND(F.lit(size - 1)).cast("int").alias("i"), F.lit(1).alias("level")), size)
+    own = sets.where(_cell(table, F.col("sig")) == 1).groupBy("sig").agg(F.first("toks").alias("toks")).join(needed, "sig", "left_semi")
+    own = staged(own.join(classes.select("sig", "at"), "sig"), "sets", "zstd")
     left = own.select(F.col("sig").alias("late"), F.col("toks").alias("x"), F.col("at").alias("late_at"))
     right = own.select(F.col("sig").alias("early"), F.col("toks").alias("y"), F.col("at").alias("early_at"))
     both = pairs.join(left, "late").join(right, "early").where("early_at < late_at")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("late").distinct()
+    gone = staged(both.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("late").distinct(), "gone")
+    unstaged(needed, own)
+    return gone
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, ver: Column | None = None) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
-    spark = docs.sparkSession
-    table = rarity_table(docs)
-    sets = staged(token_sets(lines_of(docs), table), "lines", "zstd").where(F.col("m") > 0)
-    length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
-    reps = sets.groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.first("m").alias("m"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first(F.slice("toks", F.lit(1), length)).alias("prefix"))
-    # One exchange on the token serves the window and both sides of the join.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    post = reps.select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok")).repartition(parts, "tok")
-    hub = F.min(F.struct("doc", "sig", "m", "i", "s0", "s1")).over(Window.partitionBy("tok"))
-    late = post.withColumn("hub", hub)
-    late = late.select(*(F.col(c).alias(f"a_{c}") for c in post.columns), F.col("hub.sig").alias("hub"), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("m", "i", "s0", "s1")))
-    late = late.withColumn("near", (F.col("hub") != F.col("a_sig")) & _similar("a_", "h_", threshold))
-    early = post.select(*(F.col(c).alias(f"b_{c}") for c in post.columns))
-    before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
-    met = late.join(early, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold) & (~F.col("near") | (F.col("b_sig") == F.col("hub"))))
-    pairs = staged(met.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct(), "pairs")
-    gone = staged(_verified(pairs, sets, threshold), "gone")
-    # Classes that passed the filters with some hub but were not verified may have missed others: they meet all earlier ones.
-    open_ = staged(pairs.select("late").distinct().join(gone, "late", "left_anti").select(F.col("late").alias("sig")), "open")
-    if open_.head(1):
-        again = reps.join(open_, "sig", "left_semi").select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok"))
+    ver = versions(docs) if ver is None else ver
+    sets = staged(token_sets(lines_of(docs, ver), rarity_table(docs)), "lines", "zstd", **{"parquet.dictionary.page.size": _DICTIONARY})
+    classes = staged(classes_of(sets, threshold), "classes", "zstd")
+    met = staged(candidates(classes, threshold).groupBy("late", "early").agg(F.max("short").alias("short")), "pairs")
+    pairs = met.select("late", "early")
+    gone = _verified(pairs, sets, classes, threshold)
+    # Classes that took a short way but were not verified may have missed others: they meet all earlier ones.
+    open_ = staged(met.where("short").select("late").distinct().join(gone, "late", "left_anti").select(F.col("late").alias("sig")), "open")
+    n = open_.count()
+    if n:
+        again = postings(classes.join(open_, "sig", "left_semi"))
         again = again.select(*(F.col(c).alias(f"a_{c}") for c in again.columns))
-        other = reps.select("sig", "doc", "m", "s0", "s1", F.posexplode("prefix").alias("i", "tok"))
+        other = postings(classes)
         other = other.select(*(F.col(c).alias(f"b_{c}") for c in other.columns))
-        if open_.count() <= SMALL_CLASSES:
+        if n <= SMALL_CLASSES:
             again = F.broadcast(again)  # its size has just been checked
+        before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
         rest = again.join(other, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold))
-        rest = rest.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct().join(pairs, ["late", "early"], "left_anti")
-        gone = gone.unionByName(_verified(staged(rest, "pairs"), sets, threshold))
-    firsts = sets.groupBy("sig").agg(F.min(F.struct("doc_id", "ver", "line")).alias("first"))
-    all_gone = gone.distinct().select(F.col("late").alias("sig"), F.lit(True).alias("gone"))
-    own = sets.select("doc_id", "ver", "line", "sig").join(firsts, "sig").join(all_gone, "sig", "left")
-    return own.where(F.col("gone").isNotNull() | (F.struct("doc_id", "ver", "line") != F.col("first"))).select("doc_id", "ver", "line")
+        rest = staged(rest.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct().join(pairs, ["late", "early"], "left_anti"), "pairs")
+        more = _verified(rest, sets, classes, threshold)
+        gone = gone.unionByName(more).distinct()
+    # Of the other classes, one line each, nothing goes.
+    hit = classes.join(gone.select(F.col("late").alias("sig"), F.lit(True).alias("gone")), "sig", "left").where("n > 1 OR gone").select("sig", "at", "gone")
+    own = sets.select("sig", F.struct("doc_id", "ver", "line").alias("own")).join(hit, "sig").where("gone OR own <> at").select("own.*")
+    out = staged(own, "removed")
+    unstaged(sets, classes, met, gone, open_)
+    return out
+
+
+def _by_text(docs: DataFrame, threshold: float, ver: Column) -> DataFrame:
+    gone = removed_lines(docs, threshold, ver)
+    return gone.distinct().groupBy(F.col("doc_id").alias("g_id"), F.col("ver").alias("g_ver")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,23 +233,25 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Null texts stay null.  A text whose lines all go becomes empty, and its row
     stays.  Rows that repeat id and text get the same result; a null id comes
-    first in the order.  A column named ``removed_lines`` is replaced.  No rows
-    give no rows.
+    first in the order.  A column named ``removed_lines`` is replaced; other
+    columns pass whatever their names.  No rows give no rows.
     """
-    gone = removed_lines(docs, threshold).distinct().groupBy("doc_id", "ver").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("ver").alias("_ver"), "_gone")
-    cols = [c for c in docs.columns if c not in ("removed_lines", "_gone", "_id", "_ver")]
-    text = F.col("text").cast("string")
-    met = docs.select(*cols).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_ver")), "left")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return met.select(*(kept.alias("text") if c == "text" else F.col(c) for c in cols), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
+    ver = versions(docs)
+    gone = _by_text(docs, threshold, ver)
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), ver.alias("own_ver"))
+    met = rows.join(gone, F.col("own_id").eqNullSafe(F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    cols = [c for c in docs.columns if c != "removed_lines"]
+    return met.select(*(kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def summary(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed_lines. Texts are not shuffled."""
-    gone = removed_lines(docs, threshold).distinct().groupBy("doc_id", "ver").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    ver = versions(docs)
+    gone = _by_text(docs, threshold, ver)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("ver"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).alias("n_lines"))
-    met = rows.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.ver") == F.col("g.ver")), "left")
-    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return met.select("d.doc_id", F.col("n_lines").cast("int").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ver.alias("own_ver"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    return met.select("doc_id", F.col("n_lines").cast("int").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))

@@ -83,7 +83,7 @@ def brute_lines(rows, t=0.8):
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for i, line in enumerate((text or "").split("\n")):
             words = frozenset(line.lower().split(" ")) - {""}
-            if len(words) >= 5:
+            if words:
                 lines.append((d, i, words))
     out = collections.defaultdict(list)
     for k, (d, i, w) in enumerate(lines):
