@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-case words.  A line is removed if an
 earlier one, by (doc_id, line), has a token set of Jaccard similarity at least
@@ -10,654 +10,224 @@ the threshold.  Lines without tokens are left alone.
    later lines of a class are removed.
 3. Two similar sets of m and n tokens have at least ceil(t/(1+t) (m+n)) in
    common.  Their first common token stands so early in both that as many are
-   left (positional filter, which implies the length filter), and among the
-   first m - ceil(t m) + 1 of each (prefix filter).  Classes are posted under
-   those tokens; postings that meet pass the positional filter and a bound on
-   the symmetric difference from parity bits.
-4. Where a posting lies close to the earliest posting of its token, or to the
-   one before it, its class meets that one only, which settles groups of near
-   copies with a pair or two a member; else it meets every earlier one.
+   left (positional filter), and among the first m - ceil(t m) + 1 of each
+   (prefix filter).  Classes are posted under those tokens; postings that meet
+   pass the length and positional filters and a bound on the symmetric
+   difference from parity bits.
+4. Where a posting passes the filters with the earliest posting of its token, its
+   class meets that one only, which settles groups of near copies with a pair a
+   member; else it meets every earlier one.
 5. Candidates are verified on the whole token sets; a class for which none holds
    although some posting took the short way meets all earlier ones after all.
 
-Sets are compared by 64-bit hashes of their words.  Words are cut, hashed and
-ordered in numpy over Arrow batches: the same in DataFrame functions takes more
-CPU time and disk than there is (see the README).
+Tokens are identified by 56 bits of a hash together with their rarity, sets by
+64 bits of one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import ship, staged, unstaged
-from pagemill.llm.bpe import slices
+from pagemill.llm._common import staged, unstaged
 
 THRESHOLD = 0.8
 #: Counters of the frequency table; a power of two.
 COUNTERS = 1 << 20
-#: Cells of the table that tells which lines verification needs, at most; a power of two.
+_BLOCK = 1 << 12
+#: Cells of the table that tells which sets verification needs, at most; a power of two.
 MOST_CELLS = 1 << 23
+#: Classes whose postings may be broadcast.
+SMALL_CLASSES = 2_000
 #: Sets of more tokens have 128 parity bits in a posting, others 64.
 WIDE = 80
-#: Pairs of postings that are compared at once.
-MOST_PAIRS = 1 << 17
-#: Postings of a token from which pairs are dealt out by size and position first.
-LARGE = 4096
-#: Bytes of text whose words are hashed at once.
-SLICE_BYTES = 1 << 20
-#: Lines and postings that a task packs together; more make larger rows in the exchange.
-FLUSH_LINES = 200_000
-FLUSH_POSTINGS = 1_000_000
-#: Buckets of class signatures for each shuffle partition, and postings of a bucket: what is sorted at once.
-LINE_BUCKETS = 4
-BUCKET_POSTINGS = 250_000
-#: A null id's place in the order.
+#: Greatest size and position that a posting tells; larger ones pass the filters.
+_MOST = (1 << 15) - 1
 _LEAST_ID = -(1 << 63)
-_LINES = 1 << 16
-_RANK_BITS = 6
-_MOST_LEVEL = (1 << _RANK_BITS) - 1
-_BLOCKS = 64
-_BASE = 0x9E3779B97F4A7C15
-_AT = ("doc", "ver", "line")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-# -- words ----------------------------------------------------------------------
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            one = np.ones(1, np.uint64)
-            self.up, self.down = (np.cumprod(np.concatenate([one, np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every word of lower-case UTF-8, parted by ASCII white space: a polynomial over its bytes, then mixed."""
-    data = np.frombuffer(raw, np.uint8)
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    breaks = np.flatnonzero(data == 10)
-    up, down = _POWERS.to(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return np.searchsorted(breaks, starts), _mixed((total[ends] - total[starts]) * down[starts])
-
-
-def _lowered(texts: list[str | None]) -> list[bytes | None]:
-    return [None if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts]
-
-
-def _pieces(raws: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """Whole lines of many texts in runs of bounded size: (lines joined by breaks, text number and line number of each)."""
-    held: list[bytes] = []
-    own: list[np.ndarray] = []
-    size = lines = 0
-    for i, raw in enumerate(raws):
-        if raw is None:
-            continue
-        at, first = 0, 0
-        while True:
-            if len(raw) - at <= SLICE_BYTES:
-                part, nxt = raw[at:], None
-            else:  # a long text is cut at the last break that fits, or at the next one
-                nxt = raw.rfind(b"\n", at, at + SLICE_BYTES)
-                nxt = raw.find(b"\n", at) if nxt < 0 else nxt
-                part, nxt = (raw[at:], None) if nxt < 0 else (raw[at:nxt], nxt + 1)
-            n = part.count(b"\n") + 1
-            held.append(part)
-            own.append(np.stack([np.full(n, i), np.arange(first, first + n)]))
-            size, lines, first = size + len(part) + 1, lines + n, first + n
-            if size > SLICE_BYTES:
-                both = np.concatenate(own, axis=1)
-                yield b"\n".join(held), both[0], both[1]
-                held, own, size, lines = [], [], 0, 0
-            if nxt is None:
-                break
-            at = nxt
-    if held:
-        both = np.concatenate(own, axis=1)
-        yield b"\n".join(held), both[0], both[1]
-
-
-def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    for batch in batches:
-        for part in slices(batch, at):
-            yield part, _lowered(part.column(at).to_pylist())
-
-
-def rarity_table(docs: DataFrame) -> bytes:
-    """A byte for each counter: half-octave class of its tokens' count. COUNTERS bytes, whatever the data."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
-        for _, raws in _texts(batches, 0):
-            for raw, _, _ in _pieces(raws):
-                seen += np.bincount((hashed_words(raw)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        if seen.any():
-            parts = seen.reshape(_BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], ["block", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(n, "<i8")
-                sums[block] = sums[block] + own if block in sums else own
-        level = [np.minimum(_MOST_LEVEL, np.round(np.log2(n + 1.0) * 2)).astype(np.uint8).tobytes() for n in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["block", "n"])
-
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, n binary")
-    got = counts.repartition(min(_BLOCKS, 16), "block").mapInArrow(add, "block int, n binary").collect()  # _BLOCKS rows, a byte a counter
-    table = [bytes(COUNTERS // _BLOCKS)] * _BLOCKS
-    for r in got:
-        table[r["block"]] = bytes(r["n"])
-    return b"".join(table)
-
+#: Staged token lists are written by dictionary as long as it has at most so many bytes.
+_DICTIONARY = 16 << 20
 
-# -- sets -----------------------------------------------------------------------
 
+def _spaced(text: Column, marks: str) -> Column:
+    """Lower-case text with a space for each of ``marks``; cheaper than ``translate``, which maps letter by letter."""
+    out = F.lower(text)
+    for c in marks:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
 
-def _line_sets(raw: bytes, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lines that have tokens, first index of each, token codes): codes are distinct in a line, rarest first.
 
-    A code is the rarity class and 42 bits of the hash; 2**16 lines are sorted at once.
-    """
-    line, h = hashed_words(raw)
-    bits = np.uint64(64 - 16 - _RANK_BITS)
-    cuts = np.searchsorted(line, np.arange(0, (int(line[-1]) if len(line) else 0) + _LINES, _LINES))
-    for lo, hi in zip(cuts, [*cuts[1:], len(line)], strict=True):
-        if lo == hi:
-            continue
-        own, at = h[lo:hi], line[lo:hi]
-        base = at[0] // _LINES * _LINES
-        level = table[(own & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-        key = (at - base).astype(np.uint64) << np.uint64(48) | level << bits | own >> np.uint64(64) - bits
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        at = (key >> np.uint64(48)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        yield at[first] + base, first, key & np.uint64((1 << 48) - 1)
-
-
-def least_common(m: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
-    """Least common tokens of similar sets of m and n tokens."""
-    return np.ceil((m + n) * (t / (1 + t)) - 1e-9).astype(np.int64)
+def words_of(line: Column) -> Column:
+    """Lower-case words of a line, parted by ASCII white space, and empty strings."""
+    return F.split(_spaced(line, "\t\r\x0b\x0c"), " ")
 
 
-#: Fixed columns of a class in a packed run, before the keys of all of them.
-_CLASS = (("doc", "<i8"), ("ver", "<i8"), ("line", "<i4"), ("sig", "<u8"), ("m", "<i4"), ("s0", "<u8"), ("s1", "<u8"), ("lead", "<i4"))
-_PLACE = _CLASS[:3]
-_POST = (("tok", "<u4"), ("m", "<i4"), ("i", "<i4"), *_PLACE, ("s0", "<u8"), ("s1", "<u8"))
-Run = dict[str, np.ndarray]
+def versions(docs: DataFrame) -> Column:
+    """Tells texts of one id apart: a hash of the text where some id repeats, else 0."""
+    again = docs.groupBy(F.col("doc_id").cast("long")).count().where("count > 1").limit(1).count()
+    return F.xxhash64(F.col("text").cast("string")) if again else F.lit(0).cast("long")
 
 
-def _pack(run: Run, columns: tuple) -> bytes:
-    """Columns one after another, then ``keys`` if there are any: packed runs cross an exchange as one row."""
-    return b"".join([len(run["doc"]).to_bytes(8, "little"), *(run[c].astype(t).tobytes() for c, t in columns), *([run["keys"].astype("<u4").tobytes()] if "keys" in run else [])])
+def lines_of(docs: DataFrame, ver: Column) -> DataFrame:
+    """(doc_id, ver, line, words). Texts without a break are one line; null texts have none."""
+    text = F.col("text").cast("string")
+    rows = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), ver.alias("ver"), F.posexplode(F.split(text, "\n")).alias("line", "words"))
+    return rows.withColumn("words", words_of(F.col("words")))
 
 
-def _unpack(blob: bytes, columns: tuple, keys: bool = False) -> Run:
-    n, at, out = int.from_bytes(blob[:8], "little"), 8, {}
-    for c, t in columns:
-        out[c] = np.frombuffer(blob, t, n, at)
-        at += out[c].nbytes
-    if keys:
-        out["keys"] = np.frombuffer(blob, "<u4", -1, at)
-    return out
+def _packed(cells: DataFrame, size: int) -> bytes:
+    """A byte for each cell (i: int, level: int up to 255), 0 where there is none: ``size`` bytes in all, whatever the data."""
+    cell = F.concat(F.lpad(F.hex(F.col("i").bitwiseAND(F.lit(_BLOCK - 1))), 3, "0"), F.lpad(F.hex("level"), 2, "0"))
+    blocks = cells.groupBy(F.shiftright("i", _BLOCK.bit_length() - 1).alias("block")).agg(F.array_join(F.collect_list(cell), "").alias("x"))
+    table = bytearray(size)
+    for r in blocks.toLocalIterator():  # size // _BLOCK rows
+        at, x = r["block"] * _BLOCK, r["x"]
+        for k in range(0, len(x), 5):
+            table[at + int(x[k : k + 3], 16)] = int(x[k + 3 : k + 5], 16)
+    return bytes(table)
 
 
-def _joined(runs: list[Run]) -> Run:
-    return {c: np.concatenate([r[c] for r in runs]) for c in runs[0]}
+def _cell(table: bytes, h: Column) -> Column:
+    """The byte of a packed table for a hash."""
+    return F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, 1).cast("string"))
 
 
-def _picked(run: Run, rows: np.ndarray) -> Run:
-    """Some rows of a run; keys go with their rows."""
-    out = {c: x[rows] for c, x in run.items() if c != "keys"}
-    if "keys" in run:
-        starts = np.cumsum(run["lead"]) - run["lead"]
-        n = run["lead"][rows]
-        out["keys"] = run["keys"][np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[rows], n)]
-    return out
-
+def rarity_table(docs: DataFrame) -> bytes:
+    """A byte for each counter: half-octave class of its tokens' count."""
+    counter = F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    seen = docs.select(F.explode(F.split(_spaced(F.col("text").cast("string"), "\n\t\r\x0b\x0c"), " ")).alias("w")).groupBy(counter.alias("i")).agg(F.count("*").alias("n"))
+    return _packed(seen.select("i", F.least(F.lit(126), F.round(F.log2(F.col("n") + 1) * 2)).cast("int").alias("level")), COUNTERS)
 
-def _firsts(run: Run) -> tuple[Run, Run]:
-    """The first line of each class, and the places of the others; a row that repeats id and text is at its first place."""
-    order = np.lexsort((run["line"], run["ver"], run["doc"], run["sig"]))
-    sig = run["sig"][order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    at = {c: run[c][order] for c in _AT}
-    head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    other = np.flatnonzero(np.any([x != x[head] for x in at.values()], axis=0))
-    return _picked(run, order[first]), {c: x[other] for c, x in at.items()}
 
+def _overlap(m: Column, n: Column, t: float) -> Column:
+    """Least common tokens of similar sets of m and n tokens."""
+    return F.ceil((m + n) * t / (1 + t) - 1e-9)
 
-def _dealt(run: Run, bucket: np.ndarray, columns: tuple) -> tuple[list[int], list[bytes]]:
-    """A packed run for each bucket that occurs."""
-    if not len(bucket):
-        return [], []
-    order = np.argsort(bucket, kind="stable")
-    whole, own = _picked(run, order), bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-    ends = np.concatenate([[0], np.cumsum(whole["lead"])]) if "keys" in whole else None
-    blobs = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        part = {c: x[a:b] for c, x in whole.items() if c != "keys"}
-        if ends is not None:
-            part["keys"] = whole["keys"][ends[a] : ends[b]]
-        blobs.append(_pack(part, columns))
-    return own[cuts[:-1]].tolist(), blobs
 
+def token_sets(lines: DataFrame, table: bytes) -> DataFrame:
+    """Lines with ``toks`` (long: rarity in the top byte, then 56 bits of a hash; rarest first) and the class signature.
 
-def _rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+    No filter stands here: it would be pushed below the sets and work them out twice.
+    """
+    code = lambda h: F.shiftleft(_cell(table, h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    words = F.array_remove(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    toks = F.sort_array(F.transform(words, code))
+    return lines.withColumn("toks", toks).select("doc_id", "ver", "line", F.xxhash64("toks").alias("sig"), "toks")
 
 
-#: Bucket of packed places to remove.
-_GONE = -1
-_RUNS = "bucket int, run binary"
+def _parities(toks: str) -> tuple[Column, Column]:
+    """128 parity bits of a token list in two words."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    shift = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
+    every = F.aggregate(toks, zero, lambda acc, x: acc.bitwiseXOR(shift(one, x)))
+    odd = F.aggregate(toks, zero, lambda acc, x: acc.bitwiseXOR(shift(F.shiftright(x, 6).bitwiseAND(one), x)))
+    return every, odd
 
 
-def token_lines(docs: DataFrame, ver: Column, threshold: float, buckets: int) -> DataFrame:
-    """Packed lines that have tokens, in buckets of their class signatures: place, size, parities, and a 32-bit key of each prefix token.
+def classes_of(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, at, n, m, s0, s1, prefix) of every class: its first line, lines, tokens, parities, and a 32-bit key of each prefix token.
 
-    Lines whose class stood earlier in the same task are put into the bucket of removed places at once.
+    ``s0`` is the parity over 64 bits; ``s1`` splits it in 128 where there are more than WIDE tokens, and is 0 else.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(rarity_table(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
-        one = np.uint64(1)
-        held: list[Run] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            own, gone = _firsts(_joined(held))
-            held.clear()
-            got, blobs = _dealt(own, (own["sig"] >> np.uint64(16)).astype(np.int64) % buckets, _CLASS)
-            if len(gone["doc"]):
-                got, blobs = [*got, _GONE], [*blobs, _pack(gone, _PLACE)]
-            yield _rows(got, blobs)
-
-        for part, raws in _texts(batches, 2):
-            doc, version = (part.column(i).to_numpy() for i in (0, 1))
-            for raw, text, number in _pieces(raws):
-                for line, first, code in _line_sets(raw, table):
-                    m = np.diff(np.append(first, len(code)))
-                    bit = one << (code & np.uint64(63))
-                    half = np.bitwise_xor.reduceat(np.where(code >> np.uint64(6) & one == one, bit, np.uint64(0)), first)
-                    lead = m - np.ceil(m * threshold - 1e-9).astype(np.int64) + 1
-                    keys = _mixed(code[np.arange(len(code)) - np.repeat(first, m) < np.repeat(lead, m)]) >> np.uint64(32)
-                    held.append({
-                        "doc": doc[text[line]], "ver": version[text[line]], "line": number[line], "sig": np.add.reduceat(_mixed(code + one), first), "m": m,
-                        "s0": np.bitwise_xor.reduceat(bit, first), "s1": np.where(m > WIDE, half, np.uint64(0)), "lead": lead, "keys": keys.astype(np.uint32),
-                    })
-                    n += len(m)
-                if n > FLUSH_LINES:
-                    yield from flush()
-                    n = 0
-        if held:
-            yield from flush()
-
-    return _source(docs, ver).mapInArrow(run, _RUNS)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch], columns: tuple, keys: bool = False) -> Iterator[Run]:
-    """Runs of one bucket together; rows are sorted by bucket."""
-    held: list[Run] = []
-    last = None
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != last and held:
-                yield _joined(held)
-                held = []
-            last = bucket
-            held.append(_unpack(blob, columns, keys))
-    if held:
-        yield _joined(held)
-
-
-def _exchanged(runs: DataFrame) -> DataFrame:
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-
-def classes_of(lines: DataFrame) -> DataFrame:
-    """Packed classes (bucket 0) and places to remove from the lines' buckets; ``n`` tells the postings of a run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _by_bucket(batches, _CLASS, True):
-            own, gone = _firsts(whole)
-            blobs = [(0, len(own["keys"]), _pack(own, _CLASS))] + ([(_GONE, 0, _pack(gone, _PLACE))] if len(gone["doc"]) else [])
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.int64()), pa.array([b[2] for b in blobs], pa.binary())], ["bucket", "n", "run"])
-
-    return _exchanged(lines.where(F.col("bucket") != _GONE)).mapInArrow(run, "bucket int, n long, run binary")
-
-
-def places(runs: DataFrame) -> DataFrame:
-    """(doc, ver, line) of the packed places to remove."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                got = _unpack(blob, _PLACE)
-                yield pa.RecordBatch.from_arrays([pa.array(got[c].astype(t[1:])) for c, t in _PLACE], list(_AT))
-
-    return runs.where(F.col("bucket") == _GONE).select("run").mapInArrow(run, "doc long, ver long, line int")
-
-
-def _own_id(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST_ID))
-
-
-def _source(docs: DataFrame, ver: Column) -> DataFrame:
-    return docs.select(_own_id(docs).alias("doc"), ver.alias("ver"), F.col("text").cast("string").alias("text"))
-
-
-def versions(docs: DataFrame) -> Column:
-    """Tells texts of one id apart: a hash of the text where some id repeats, else 0."""
-    again = docs.groupBy(_own_id(docs)).count().where("count > 1").limit(1).count()
-    return F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0)) if again else F.lit(0).cast("long")
-
-
-# -- candidates -----------------------------------------------------------------
-
-
-class Postings:
-    """Postings of whole tokens, sorted by token and place."""
-
-    def __init__(self, tok: np.ndarray, m: np.ndarray, i: np.ndarray, s0: np.ndarray, s1: np.ndarray, asks: np.ndarray, t: float) -> None:
-        self.m, self.left, self.s0, self.s1, self.t = m.astype(np.int64), (m - i).astype(np.int64), s0, s1, t
-        new = np.concatenate([[True], tok[1:] != tok[:-1]])
-        self.first = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.first, len(tok)))
-        self.start = np.repeat(self.first, self.size)
-        self.asks = asks
-
-    def similar(self, a: np.ndarray, b: np.ndarray, closer: int = 1) -> np.ndarray:
-        """Indices of pairs that pass the filters; ``closer`` asks for so many times less of a difference."""
-        need = least_common(self.m[a], self.m[b], self.t)
-        got = np.flatnonzero(np.minimum(self.left[a], self.left[b]) >= need)
-        a, b, need = a[got], b[got], need[got]
-        x, y = self.s0[a] ^ self.s0[b], self.s1[a] ^ self.s1[b]
-        count = lambda bits: np.bitwise_count(bits).astype(np.int64)
-        # s1 is the parity of half of the bits' tokens, and s0 that of all: the other half is their difference.
-        apart = np.where(np.minimum(self.m[a], self.m[b]) > WIDE, count(y) + count(x ^ y), count(x))
-        return got[apart * closer <= self.m[a] + self.m[b] - 2 * need]
-
-    def pairs(self, shortcuts: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(late, early, whether others were left out) of postings that may be similar."""
-        late = np.flatnonzero(self.asks & (np.arange(len(self.m)) > self.start))
-        if shortcuts:
-            for hub in (True, False):
-                to = self.start[late] if hub else late - 1
-                near = self.similar(late, to, closer=2)
-                yield late[near], to[near], True
-                late = np.delete(late, near)
-        wide = self.size[np.searchsorted(self.first, self.start[late])] > LARGE
-        yield from self._all(late[~wide])
-        if wide.any():
-            big = late[wide]
-            for s in np.unique(self.start[big]).tolist():
-                yield from self._by_cells(big[self.start[big] == s])
-
-    def _all(self, late: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Each late posting with all earlier ones of its token."""
-        counts = late - self.start[late]
-        ends = np.cumsum(counts)
-        lo = 0
-        while lo < len(late):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MOST_PAIRS)))
-            n = counts[lo:hi]
-            a = np.repeat(late[lo:hi], n)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + self.start[a]
-            got = self.similar(a, b)
-            if len(got):
-                yield a[got], b[got], False
-            lo = hi
-
-    def _by_cells(self, late: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """One token's late postings with its earlier ones, by cells of equal size and position: most cells can't meet."""
-        s = int(self.start[late[0]])
-        rows = np.arange(s, s + int(self.size[np.searchsorted(self.first, s)]))
-        cells, cell = np.unique(np.stack([self.m[rows], self.left[rows]], axis=1), axis=0, return_inverse=True)
-        cell = cell.ravel()
-        members = np.split(rows[np.argsort(cell, kind="stable")], np.cumsum(np.bincount(cell))[:-1])
-        asked = np.zeros(len(rows), bool)
-        asked[late - s] = True
-        for c, own in enumerate(members):
-            asks = own[asked[own - s]]
-            if not len(asks):
-                continue
-            fits = np.minimum(cells[c, 1], cells[:, 1]) >= least_common(cells[c, 0], cells[:, 0], self.t)
-            other = np.sort(np.concatenate([members[k] for k in np.flatnonzero(fits)])) if fits.any() else np.empty(0, np.int64)
-            before = np.searchsorted(other, asks)
-            step = max(1, MOST_PAIRS // max(1, len(other)))
-            for at in range(0, len(asks), step):
-                n = before[at : at + step]
-                a = np.repeat(asks[at : at + step], n)
-                got = other[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
-                hit = self.similar(a, got)
-                if len(hit):
-                    yield a[hit], got[hit], False
-
-
-def postings(classes: DataFrame, buckets: int, only: bytes | None = None) -> DataFrame:
-    """Packed postings in buckets of their tokens; ``only``: the table of the tokens to post."""
-    shared = classes.sparkSession.sparkContext.broadcast(only)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Run] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            whole = _joined(held)
-            held.clear()
-            return _rows(*_dealt(whole, whole["tok"].astype(np.int64) * 0x9E37 % 0x7FFFFFFF % buckets, _POST))
-
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                own = _unpack(blob, _CLASS, True)
-                lead = own["lead"].astype(np.int64)
-                made = {c: np.repeat(own[c], lead) for c in ("m", *_AT, "s0", "s1")} | {"tok": own["keys"], "i": np.arange(len(own["keys"])) - np.repeat(np.cumsum(lead) - lead, lead)}
-                if shared.value is not None:
-                    cells = np.frombuffer(shared.value, np.uint8)
-                    made = _picked(made, np.flatnonzero(cells[(_mixed(made["tok"].astype(np.uint64)) & np.uint64(len(cells) - 1)).astype(np.int64)]))
-                held.append(made)
-                n += len(made["tok"])
-                if n > FLUSH_POSTINGS:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
-
-    return classes.where("bucket = 0").select("run").mapInArrow(run, _RUNS)
-
-
-_MET = (*_PLACE, ("e_doc", "<i8"), ("e_ver", "<i8"), ("e_line", "<i4"), ("short", "?"))
-_PAIR = "doc long, ver long, line int, e_doc long, e_ver long, e_line int, short boolean"
-
-
-def candidates(post: DataFrame, t: float, asks: bytes | None = None) -> DataFrame:
-    """Pairs of classes (late, early) that may be similar, once; ``short`` where a token's other postings weren't met.
-
-    With ``asks``, a table of places, only those classes meet earlier ones, and all of them.
+    size = F.size("toks")
+    length = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
+    every, odd = _parities("toks")
+    keys = F.transform(F.slice("toks", F.lit(1), length), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    rows = sets.where(size > 0).select("sig", F.struct("doc_id", "ver", "line").alias("at"), size.alias("m"), every.alias("s0"), F.when(size > WIDE, odd).otherwise(F.lit(0).cast("long")).alias("s1"), keys.alias("prefix"))
+    return rows.groupBy("sig").agg(F.min("at").alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("m", "s0", "s1", "prefix")))
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """(tok, mi, doc, sig, s0, s1): size and position share an int."""
+    rows = classes.select(
+        F.coalesce("at.doc_id", F.lit(_LEAST_ID)).alias("doc"), "sig", "s0", "s1", F.least("m", F.lit(_MOST)).alias("m"), F.posexplode("prefix").alias("i", "tok")
+    )
+    return rows.select("tok", F.shiftleft("m", 16).bitwiseOR(F.least("i", F.lit(_MOST))).alias("mi"), "doc", "sig", "s0", "s1")
+
+
+def _similar(a: str, b: str, t: float) -> Column:
+    """Length, positional and parity filters on two postings of one token."""
+    col = F.col
+    m, n = F.shiftright(col(f"{a}mi"), 16), F.shiftright(col(f"{b}mi"), 16)
+    i, j = col(f"{a}mi").bitwiseAND(F.lit(0xFFFF)), col(f"{b}mi").bitwiseAND(F.lit(0xFFFF))
+    x, y = col(f"{a}s0").bitwiseXOR(col(f"{b}s0")), col(f"{a}s1").bitwiseXOR(col(f"{b}s1"))
+    # s1 is the parity of half of the bits' tokens, and s0 that of all: the other half is their difference.
+    apart = F.when(F.least(m, n) > WIDE, F.bit_count(y) + F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x))
+    fits = (F.least(m - i, n - j) >= (m + n) * (t / (1 + t)) - 1e-9) & (apart <= m + n - 2 * _overlap(m, n, t))
+    return fits | (F.greatest(m, n) == _MOST)
+
+
+def candidates(classes: DataFrame, t: float) -> DataFrame:
+    """(late, early, short): classes that may be similar, once for each token; ``short`` where that token's other postings weren't met.
+
+    Window and join are on the same token: one exchange serves all.
     """
-    shared = post.sparkSession.sparkContext.broadcast(asks)
-    parts = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[Run] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            whole = _joined(found)
-            found.clear()
-            return _rows(*_dealt(whole, (_place(*(whole[c] for c in _AT)) >> np.uint64(33)).astype(np.int64) % (2 * parts), _MET))
-
-        for got in _by_bucket(batches, _POST):
-            order = np.lexsort((got["line"], got["ver"], got["doc"], got["tok"]))
-            got = {c: x[order] for c, x in got.items()}
-            ask = np.ones(len(order), bool)
-            if shared.value is not None:
-                cells = np.frombuffer(shared.value, np.uint8)
-                ask = cells[(_place(*(got[c] for c in _AT)) & np.uint64(len(cells) - 1)).astype(np.int64)] == 1
-            p = Postings(got["tok"], got["m"].astype(np.int64), got["i"], got["s0"], got["s1"], ask, t)
-            for a, b, short in p.pairs(shared.value is None):
-                found.append({"doc": got["doc"][a], "ver": got["ver"][a], "line": got["line"][a], "e_doc": got["doc"][b], "e_ver": got["ver"][b], "e_line": got["line"][b], "short": np.full(len(a), short)})
-                n += len(a)
-            if n > FLUSH_LINES:
-                yield flush()
-                n = 0
-        if found:
-            yield flush()
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c for c, _ in _MET]
-        for got in _by_bucket(batches, _MET):
-            order = np.lexsort([~got["short"], *(got[c] for c in names[:-1])])
-            first = np.concatenate([[True], np.any([got[c][order[1:]] != got[c][order[:-1]] for c in names[:-1]], axis=0)])
-            yield pa.RecordBatch.from_arrays([pa.array(got[c][order[first]]) for c in names], names)
-
-    whole = _exchanged(_exchanged(post).mapInArrow(run, _RUNS)).mapInArrow(once, _PAIR)
-    return whole.select(*(F.col(c).alias(f"l_{c}") for c in _AT), *(f"e_{c}" for c in _AT), "short")
-
-
-# -- verification ---------------------------------------------------------------
-
-
-def _cells(keys: DataFrame, count: int) -> bytes:
-    """A byte for each cell of a table of bounded size, 1 where a key (column ``k``: long) falls."""
-    size = 1 << min(MOST_CELLS, max(1 << 12, 8 * count)).bit_length() - 1
-    got = keys.select(F.col("k").bitwiseAND(F.lit(size - 1)).cast("int").alias("i")).distinct().toArrow()
-    table = np.zeros(size, np.uint8)
-    table[got["i"].to_numpy()] = 1
-    return table.tobytes()
-
-
-def _place_cells(rows: DataFrame, count: int) -> bytes:
-    """The table of places (doc, ver, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_place(*(b.column(i).to_numpy() for i in range(3))).view(np.int64))], ["k"])
-
-    return _cells(rows.select(*_AT).mapInArrow(run, "k long"), count)
-
-
-def _place(doc: np.ndarray, ver: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of a line's place."""
-    return _mixed(doc.view(np.uint64) * np.uint64(_BASE) + _mixed(ver.view(np.uint64)) + line.astype(np.uint64))
-
-
-def _whole_sets(docs: DataFrame, ver: Column, needed: DataFrame) -> DataFrame:
-    """(doc, ver, line, toks) of the lines at ``needed`` places: sorted 64-bit hashes. Other lines are passed over uncut."""
-    place = F.xxhash64(*_AT)
-    table = _cells(needed.select(place.alias("k")), needed.count())
-    cell = F.ascii(F.substring(F.lit(table), place.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, 1).cast("string"))
-    rows = _source(docs, ver).where("text IS NOT NULL").select("doc", "ver", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(cell == 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raws in _texts(batches, 3):
-            line, h = hashed_words(b"\n".join(raws))
-            order = np.lexsort((h, line))
-            line, h = line[order], h[order]
-            keep = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
-            line, h = line[keep], h[keep]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(raws)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], [*_AT, "toks"])
-
-    return rows.mapInArrow(run, "doc long, ver long, line int, toks array<long>").join(needed, list(_AT), "left_semi")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, ver: Column, t: float) -> DataFrame:
-    """Staged places ``late`` of pairs whose whole sets are similar."""
-    side = lambda p: [F.col(f"{p}_{c}").alias(c) for c in _AT]
-    needed = staged(pairs.select(*side("l")).unionByName(pairs.select(*side("e"))).distinct(), "needed")
-    own = staged(_whole_sets(docs, ver, needed), "sets")  # with a place again for each row that repeats id and text
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(3), b.column(4)
-            m, n = (np.diff(c.offsets.to_numpy()) for c in (x, y))
-            h = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
-            pair = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)])
-            order = np.lexsort((h, pair))
-            h, pair = h[order], pair[order]
-            twice = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
-            common = np.bincount(pair[1:][twice], minlength=len(m))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)], list(_AT)).filter(pa.array(common >= (m + n - common) * t - 1e-9))
-
-    left = own.select(*(F.col(c).alias(f"l_{c}") for c in _AT), F.col("toks").alias("x"))
-    right = own.select(*(F.col(c).alias(f"e_{c}") for c in _AT), F.col("toks").alias("y"))
-    both = pairs.join(left, [f"l_{c}" for c in _AT]).join(right, [f"e_{c}" for c in _AT]).select(*side("l"), "x", "y")
-    gone = staged(both.mapInArrow(check, "doc long, ver long, line int").distinct(), "gone")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    post = postings(classes).repartition(parts, "tok")
+    names = ("mi", "sig", "s0", "s1")
+    w = Window.partitionBy("tok").orderBy("doc", "sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    late = post.withColumn("hub", F.first(F.struct(*names)).over(w))
+    late = late.select(*(F.col(c).alias(f"a_{c}") for c in post.columns), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in names))
+    late = late.withColumn("to", F.when((F.col("h_sig") != F.col("a_sig")) & _similar("a_", "h_", t), F.col("h_sig"))).drop(*(f"h_{c}" for c in names))
+    early = post.select(*(F.col(c).alias(f"b_{c}") for c in post.columns))
+    met = late.join(early, F.col("a_tok") == F.col("b_tok"))
+    # A posting with a shortcut meets itself once, which carries the shortcut out.
+    meets = F.when(F.col("to").isNull(), (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig")) & _similar("a_", "b_", t)).otherwise(F.col("b_sig") == F.col("a_sig"))
+    return met.where(meets).select(F.col("a_sig").alias("late"), F.coalesce("to", "b_sig").alias("early"), F.col("to").isNotNull().alias("short"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Staged classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that.
+
+    Sets that no pair needs are mostly left out, by a table of hashes, before any are shuffled.
+    """
+    needed = staged(pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct(), "needed")
+    size = 1 << min(MOST_CELLS, max(1 << 12, 8 * needed.count())).bit_length() - 1
+    table = _packed(needed.select(F.col("sig").bitwiseAND(F.lit(size - 1)).cast("int").alias("i"), F.lit(1).alias("level")), size)
+    own = sets.where(_cell(table, F.col("sig")) == 1).groupBy("sig").agg(F.first("toks").alias("toks")).join(needed, "sig", "left_semi")
+    own = staged(own.join(classes.select("sig", "at"), "sig"), "sets", "zstd")
+    left = own.select(F.col("sig").alias("late"), F.col("toks").alias("x"), F.col("at").alias("late_at"))
+    right = own.select(F.col("sig").alias("early"), F.col("toks").alias("y"), F.col("at").alias("early_at"))
+    both = pairs.join(left, "late").join(right, "early").where("early_at < late_at")
+    common = F.size(F.array_intersect("x", "y"))
+    gone = staged(both.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("late").distinct(), "gone")
     unstaged(needed, own)
     return gone
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, ver: Column | None = None) -> DataFrame:
-    """(doc, ver, line) of every line to remove; a null id is the least one."""
+    """(doc_id, ver, line) of every line to remove."""
     ver = versions(docs) if ver is None else ver
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = staged(token_lines(docs, ver, threshold, LINE_BUCKETS * parts), "lines", "zstd")
-    classes = staged(classes_of(lines), "classes", "zstd")
-    buckets = max(2 * parts, (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_POSTINGS)
-    met = staged(candidates(postings(classes, buckets), threshold), "pairs")
-    gone = _verified(met, docs, ver, threshold)
+    sets = staged(token_sets(lines_of(docs, ver), rarity_table(docs)), "lines", "zstd", **{"parquet.dictionary.page.size": _DICTIONARY})
+    classes = staged(classes_of(sets, threshold), "classes", "zstd")
+    met = staged(candidates(classes, threshold).groupBy("late", "early").agg(F.max("short").alias("short")), "pairs")
+    pairs = met.select("late", "early")
+    gone = _verified(pairs, sets, classes, threshold)
     # Classes that took a short way but were not verified may have missed others: they meet all earlier ones.
-    open_ = staged(met.where("short").select(*(F.col(f"l_{c}").alias(c) for c in _AT)).distinct().join(gone, list(_AT), "left_anti"), "open")
+    open_ = staged(met.where("short").select("late").distinct().join(gone, "late", "left_anti").select(F.col("late").alias("sig")), "open")
     n = open_.count()
     if n:
-        asks = _place_cells(open_, n)
-        rest = candidates(postings(classes, buckets, _open_tokens(classes, asks, n)), threshold, asks)
-        rest = staged(rest.join(met, [c for c in met.columns if c != "short"], "left_anti"), "pairs")
-        gone = gone.unionByName(_verified(rest, docs, ver, threshold))
-    out = staged(places(lines).unionByName(places(classes)).unionByName(gone.distinct()), "removed")
-    unstaged(lines, classes, met, open_)
+        again = postings(classes.join(open_, "sig", "left_semi"))
+        again = again.select(*(F.col(c).alias(f"a_{c}") for c in again.columns))
+        other = postings(classes)
+        other = other.select(*(F.col(c).alias(f"b_{c}") for c in other.columns))
+        if n <= SMALL_CLASSES:
+            again = F.broadcast(again)  # its size has just been checked
+        before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
+        rest = again.join(other, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold))
+        rest = staged(rest.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct().join(pairs, ["late", "early"], "left_anti"), "pairs")
+        more = _verified(rest, sets, classes, threshold)
+        gone = gone.unionByName(more).distinct()
+    # Of the other classes, one line each, nothing goes.
+    hit = classes.join(gone.select(F.col("late").alias("sig"), F.lit(True).alias("gone")), "sig", "left").where("n > 1 OR gone").select("sig", "at", "gone")
+    own = sets.select("sig", F.struct("doc_id", "ver", "line").alias("own")).join(hit, "sig").where("gone OR own <> at").select("own.*")
+    out = staged(own, "removed")
+    unstaged(sets, classes, met, gone, open_)
     return out
 
 
-def _open_tokens(classes: DataFrame, asks: bytes, n: int) -> bytes:
-    """The table of the prefix tokens of classes at places that ``asks`` holds."""
-    shared = classes.sparkSession.sparkContext.broadcast(asks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                own = _unpack(blob, _CLASS, True)
-                got = _picked(own, np.flatnonzero(cells[(_place(*(own[c] for c in _AT)) & np.uint64(len(cells) - 1)).astype(np.int64)]))
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(got["keys"].astype(np.uint64)).view(np.int64))], ["k"])
-
-    return _cells(classes.where("bucket = 0").select("run").mapInArrow(run, "k long"), 16 * n)
-
-
 def _by_text(docs: DataFrame, threshold: float, ver: Column) -> DataFrame:
     gone = removed_lines(docs, threshold, ver)
-    return gone.distinct().groupBy(F.col("doc").alias("g_id"), F.col("ver").alias("g_ver")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    return gone.distinct().groupBy(F.col("doc_id").alias("g_id"), F.col("ver").alias("g_ver")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -671,8 +241,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ver = versions(docs)
     gone = _by_text(docs, threshold, ver)
     text = F.col("row.text").cast("string")
-    rows = docs.select(F.struct("*").alias("row"), _own_id(docs).alias("own_id"), ver.alias("own_ver"))
-    met = rows.join(gone, (F.col("own_id") == F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), ver.alias("own_ver"))
+    met = rows.join(gone, F.col("own_id").eqNullSafe(F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
     cols = [c for c in docs.columns if c != "removed_lines"]
     return met.select(*(kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
@@ -683,7 +253,7 @@ def summary(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ver = versions(docs)
     gone = _by_text(docs, threshold, ver)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _own_id(docs).alias("own_id"), ver.alias("own_ver"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
-    met = rows.join(gone, (F.col("own_id") == F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ver.alias("own_ver"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("own_ver") == F.col("g_ver")), "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     return met.select("doc_id", F.col("n_lines").cast("int").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
