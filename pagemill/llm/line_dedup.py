@@ -20,8 +20,7 @@ the threshold.  Lines without tokens are left alone.
 5. Candidates are verified on the whole token sets; a class for which none holds
    although some posting took the short way meets all earlier ones after all.
 
-Tokens are identified by 56 bits of a hash together with their rarity, sets by
-64 bits of one.
+Sets are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -44,8 +43,6 @@ WIDE = 80
 #: Greatest size and position that a posting tells; larger ones pass the filters.
 _MOST = (1 << 15) - 1
 _LEAST_ID = -(1 << 63)
-#: Staged token lists are written by dictionary as long as it has at most so many bytes.
-_DICTIONARY = 16 << 20
 
 
 def _spaced(text: Column, marks: str) -> Column:
@@ -103,19 +100,13 @@ def _overlap(m: Column, n: Column, t: float) -> Column:
     return F.ceil((m + n) * t / (1 + t) - 1e-9)
 
 
-def token_sets(lines: DataFrame, table: bytes) -> DataFrame:
-    """Lines with ``toks`` (long: rarity in the top byte, then 56 bits of a hash; rarest first) and the class signature.
-
-    No filter stands here: it would be pushed below the sets and work them out twice.
-    """
-    code = lambda h: F.shiftleft(_cell(table, h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    words = F.array_remove(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    toks = F.sort_array(F.transform(words, code))
-    return lines.withColumn("toks", toks).select("doc_id", "ver", "line", F.xxhash64("toks").alias("sig"), "toks")
+def hashed(words: Column) -> Column:
+    """Distinct 64-bit hashes of words."""
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _parities(toks: str) -> tuple[Column, Column]:
-    """128 parity bits of a token list in two words."""
+    """Parity bits of a token list: of all tokens, and of those whose seventh bit is set."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     shift = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
     every = F.aggregate(toks, zero, lambda acc, x: acc.bitwiseXOR(shift(one, x)))
@@ -123,16 +114,26 @@ def _parities(toks: str) -> tuple[Column, Column]:
     return every, odd
 
 
-def classes_of(sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig, at, n, m, s0, s1, prefix) of every class: its first line, lines, tokens, parities, and a 32-bit key of each prefix token.
+def token_lines(lines: DataFrame, table: bytes, threshold: float) -> DataFrame:
+    """(doc_id, ver, line, sig, m, s0, s1, prefix): class signature, tokens, parities, and a 32-bit key of each prefix token.
 
-    ``s0`` is the parity over 64 bits; ``s1`` splits it in 128 where there are more than WIDE tokens, and is 0 else.
+    A token is its rarity in the top byte, then 56 bits of its hash, so sorting
+    puts the rarest first.  ``s0`` is the parity over 64 bits; ``s1`` splits it
+    in 128 where there are more than WIDE tokens, and is 0 else.  No filter
+    stands here: it would be pushed below the tokens and work them out twice.
     """
+    code = lambda h: F.shiftleft(_cell(table, h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    sets = lines.select("doc_id", "ver", "line", F.sort_array(F.transform(hashed(F.col("words")), code)).alias("toks"))
     size = F.size("toks")
     length = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
     every, odd = _parities("toks")
     keys = F.transform(F.slice("toks", F.lit(1), length), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
-    rows = sets.where(size > 0).select("sig", F.struct("doc_id", "ver", "line").alias("at"), size.alias("m"), every.alias("s0"), F.when(size > WIDE, odd).otherwise(F.lit(0).cast("long")).alias("s1"), keys.alias("prefix"))
+    return sets.select("doc_id", "ver", "line", F.xxhash64("toks").alias("sig"), size.alias("m"), every.alias("s0"), F.when(size > WIDE, odd).otherwise(F.lit(0).cast("long")).alias("s1"), keys.alias("prefix"))
+
+
+def classes_of(lines: DataFrame) -> DataFrame:
+    """(sig, at, n, m, s0, s1, prefix) of every class: its first line, its lines, and what these have in common."""
+    rows = lines.where("m > 0").select("sig", F.struct("doc_id", "ver", "line").alias("at"), "m", "s0", "s1", "prefix")
     return rows.groupBy("sig").agg(F.min("at").alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("m", "s0", "s1", "prefix")))
 
 
@@ -175,16 +176,24 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
     return met.where(meets).select(F.col("a_sig").alias("late"), F.coalesce("to", "b_sig").alias("early"), F.col("to").isNotNull().alias("short"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """Staged classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that.
-
-    Sets that no pair needs are mostly left out, by a table of hashes, before any are shuffled.
-    """
-    needed = staged(pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct(), "needed")
+def _whole_sets(docs: DataFrame, ver: Column, needed: DataFrame) -> DataFrame:
+    """(sig, at, toks) of classes ``needed`` (sig, at), whose first lines are read and cut again; most other lines are passed over uncut."""
+    place = F.xxhash64(F.struct("doc_id", "ver", "line"))
     size = 1 << min(MOST_CELLS, max(1 << 12, 8 * needed.count())).bit_length() - 1
-    table = _packed(needed.select(F.col("sig").bitwiseAND(F.lit(size - 1)).cast("int").alias("i"), F.lit(1).alias("level")), size)
-    own = sets.where(_cell(table, F.col("sig")) == 1).groupBy("sig").agg(F.first("toks").alias("toks")).join(needed, "sig", "left_semi")
-    own = staged(own.join(classes.select("sig", "at"), "sig"), "sets", "zstd")
+    cell = lambda x: x.bitwiseAND(F.lit(size - 1)).cast("int")
+    table = _packed(needed.select(cell(F.xxhash64("at")).alias("i")).distinct().withColumn("level", F.lit(1)), size)
+    text = F.col("text").cast("string")
+    rows = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), ver.alias("ver"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    rows = rows.where(_cell(table, place) == 1).select(F.struct("doc_id", "ver", "line").alias("place"), hashed(words_of(F.col("text"))).alias("toks"))
+    # A row that repeats id and text gives a place again.
+    return needed.join(rows, F.col("at") == F.col("place")).select("sig", "at", "toks")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, ver: Column, classes: DataFrame, t: float) -> DataFrame:
+    """Staged classes ``late`` of pairs (late, early) whose whole sets are similar and whose order is that."""
+    needed = pairs.select(F.col("late").alias("sig")).unionByName(pairs.select(F.col("early").alias("sig"))).distinct()
+    needed = staged(classes.join(needed, "sig", "left_semi").select("sig", "at"), "needed")
+    own = staged(_whole_sets(docs, ver, needed), "sets", "zstd")
     left = own.select(F.col("sig").alias("late"), F.col("toks").alias("x"), F.col("at").alias("late_at"))
     right = own.select(F.col("sig").alias("early"), F.col("toks").alias("y"), F.col("at").alias("early_at"))
     both = pairs.join(left, "late").join(right, "early").where("early_at < late_at")
@@ -194,34 +203,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -
     return gone
 
 
+def _met_by(classes: DataFrame, open_: DataFrame, count: int, t: float) -> DataFrame:
+    """Pairs (late, early) of the open classes (sig) and all earlier ones that pass the filters; only their tokens' postings are dealt out."""
+    again = postings(classes.join(open_, "sig", "left_semi"))
+    size = 1 << min(MOST_CELLS, max(1 << 12, 64 * count)).bit_length() - 1
+    table = _packed(again.select(F.col("tok").bitwiseAND(F.lit(size - 1)).alias("i")).distinct().withColumn("level", F.lit(1)), size)
+    other = postings(classes).where(_cell(table, F.col("tok")) == 1)
+    other = other.select(*(F.col(c).alias(f"b_{c}") for c in other.columns))
+    again = again.select(*(F.col(c).alias(f"a_{c}") for c in again.columns))
+    if count <= SMALL_CLASSES:
+        again = F.broadcast(again)  # its size has just been checked
+    before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
+    return again.join(other, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", t)).select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct()
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, ver: Column | None = None) -> DataFrame:
     """(doc_id, ver, line) of every line to remove."""
     ver = versions(docs) if ver is None else ver
-    sets = staged(token_sets(lines_of(docs, ver), rarity_table(docs)), "lines", "zstd", **{"parquet.dictionary.page.size": _DICTIONARY})
-    classes = staged(classes_of(sets, threshold), "classes", "zstd")
+    lines = staged(token_lines(lines_of(docs, ver), rarity_table(docs), threshold), "lines", "zstd")
+    classes = staged(classes_of(lines), "classes", "zstd")
     met = staged(candidates(classes, threshold).groupBy("late", "early").agg(F.max("short").alias("short")), "pairs")
     pairs = met.select("late", "early")
-    gone = _verified(pairs, sets, classes, threshold)
+    gone = _verified(pairs, docs, ver, classes, threshold)
     # Classes that took a short way but were not verified may have missed others: they meet all earlier ones.
     open_ = staged(met.where("short").select("late").distinct().join(gone, "late", "left_anti").select(F.col("late").alias("sig")), "open")
     n = open_.count()
     if n:
-        again = postings(classes.join(open_, "sig", "left_semi"))
-        again = again.select(*(F.col(c).alias(f"a_{c}") for c in again.columns))
-        other = postings(classes)
-        other = other.select(*(F.col(c).alias(f"b_{c}") for c in other.columns))
-        if n <= SMALL_CLASSES:
-            again = F.broadcast(again)  # its size has just been checked
-        before = (F.col("b_doc") <= F.col("a_doc")) & (F.col("b_sig") != F.col("a_sig"))
-        rest = again.join(other, F.col("a_tok") == F.col("b_tok")).where(before & _similar("a_", "b_", threshold))
-        rest = staged(rest.select(F.col("a_sig").alias("late"), F.col("b_sig").alias("early")).distinct().join(pairs, ["late", "early"], "left_anti"), "pairs")
-        more = _verified(rest, sets, classes, threshold)
-        gone = gone.unionByName(more).distinct()
+        rest = staged(_met_by(classes, open_, n, threshold).join(pairs, ["late", "early"], "left_anti"), "pairs")
+        gone = gone.unionByName(_verified(rest, docs, ver, classes, threshold)).distinct()
     # Of the other classes, one line each, nothing goes.
     hit = classes.join(gone.select(F.col("late").alias("sig"), F.lit(True).alias("gone")), "sig", "left").where("n > 1 OR gone").select("sig", "at", "gone")
-    own = sets.select("sig", F.struct("doc_id", "ver", "line").alias("own")).join(hit, "sig").where("gone OR own <> at").select("own.*")
+    own = lines.select("sig", F.struct("doc_id", "ver", "line").alias("own")).join(hit, "sig").where("gone OR own <> at").select("own.*")
     out = staged(own, "removed")
-    unstaged(sets, classes, met, gone, open_)
+    unstaged(lines, classes, met, open_)
     return out
 
 

@@ -57,17 +57,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(id, fp: signed long holding the 64 bits) of every whole text."""
+    """(id, text_key, fp) of every whole text: a 64-bit hash, and the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 got = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], "<u8").view("<i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(got)], ["id", "text_key", "fp"])
 
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return src.mapInArrow(run, "id long, text_key long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -157,22 +158,27 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), kept.
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), kept, text_key (a hash of the text).
 
     Texts without words, empty and null ones included, have fingerprint zero and
-    are linked like any other.  Equal ids give equal rows; a null id takes part
-    with its fingerprint but is never a component's id unless no other is there.
-    Other columns are ignored; an empty table gives no rows.
+    are linked like any other.  Fingerprints are linked, not ids: a row without
+    an id links others and has their smallest id, null if none has one; rows of
+    one id with different texts may be in different components.  ``kept`` marks
+    the row of the smallest (id, text_key) of a component, a null id being the
+    largest, and each row that repeats it.  Other columns are ignored; an empty
+    table gives no rows.
     """
     marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    edges = links(nodes.select("fp"))
-    ends = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    comps = connected_components(ends.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    labels = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "text_key"))
+    nodes = staged(marked.groupBy("fp").agg(first.alias("first")), "nodes")
+    comps = connected_components(links(nodes.select("fp")))
+    known = nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"), "first")
+    known = staged(known, "parts")
+    labels = known.select("fp", "part").join(known.groupBy("part").agg(F.min("first").alias("first")), "part").select("fp", F.col("first.id").alias("component_id"), F.col("first.text_key").alias("first_key"))
     return marked.join(labels, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        (F.col("id") == F.col("component_id")).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))).alias("kept"),
+        "text_key",
     )
