@@ -1,7 +1,15 @@
 """From raw documents to an encoded training corpus, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
-and is written as Parquet and read again before the next one.
+and is written as Parquet and read again before the next one.  All but the last
+return the columns of their input.
+
+Null texts pass all stages as texts without words: they are not toxic, have no
+lines, are near-duplicates of each other and of empty texts, have no tokens, and
+encode as empty.  A null id is a value like others, larger than all in choosing
+which near-duplicate stays.  Rows of one id with different texts are decided
+apart; of rows that repeat id and text one stays.  Empty tables and extra
+columns are fine.
 """
 
 from __future__ import annotations
@@ -26,16 +34,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _without(docs: DataFrame, out: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs`` that agree with none of ``out`` in id, text_key and ``by``, nulls being equal."""
+    key = {"id_": F.col("doc_id").cast("long"), "text_key": F.xxhash64("text"), **{c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by}}
+    ours = docs.select(F.struct("*").alias("row"), *(v.alias(f"k_{c}") for c, v in key.items()))
+    theirs = out.select(F.col("doc_id").cast("long").alias("c_id_"), "text_key", *by).distinct()
+    same = F.col("k_id_").eqNullSafe(F.col("c_id_"))
+    for c in ("text_key", *by):
+        same &= F.col(f"k_{c}") == F.col(c)
+    return ours.join(theirs, same, "left_anti").select("row.*")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id."""
-    extra = simhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays, the one of the smallest id; of rows that repeat it in id and text, one."""
+    marks = staged(simhash.near_duplicates(docs).select("doc_id", "text_key", "kept"), "marks")
+    left = _without(docs, marks.where(~F.col("kept")), ())
+    again = marks.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if again else left
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to the target weights of sources, languages and topics."""
-    out = mixing.mix(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, mixing.mix(docs).where(~F.col("kept")), ("source", "lang"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
