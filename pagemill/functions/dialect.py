@@ -16,7 +16,11 @@ def lit(text: str) -> str:
 
 @dataclass(frozen=True)
 class Dialect:
+    """An engine's spelling; ``elements`` and ``pages`` name relations to read instead of the test tables' own."""
+
     name: str
+    elements: str | None = None
+    pages: str | None = None
 
     @property
     def spark(self) -> bool:

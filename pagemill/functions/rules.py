@@ -115,3 +115,77 @@ STOP_WORDS = (
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "it", "as", "be", "no", "not",
     "de", "la", "el", "en", "y", "o", "con", "por", "un", "una", "los", "las", "del", "al", "se", "su", "le", "lo", "que", "es",
 )
+
+# -- fixed values: page scans ---------------------------------------------------
+LIVE_ELEMENTS = 300
+LIVE_ATTRIBUTES = ("id", "class", "href", "src", "onclick", "placeholder", "type", "alt", "title", "data-url", "data-src", "data-anime", "data-value", "aria-label", "role")
+LIVE_DATA_URLS = ("data-url", "data-src", "data-video", "data-embed", "data-href", "data-link")
+QUOTED_URL = r"https?://[^'\")\s]+"
+ESCAPED_URL = r"https?:\\/\\/[^'\"\\)\s]+"
+LOOSE_URL = r"https?://[^\"'\s<>]{10,300}"
+SCRIPT_URL = r"https?://[^\s\"'\\]+"
+CONTENT_URL = "player|embed|stream|video|download|descarg|mp4|m3u8|hls|source|server|cdn"
+PLACEHOLDER = "placeholder|blank|loading|lazy|data:image|1x1|spacer"
+PAGE_BLOCKS = ("pagin", "page", "naveg")
+CARD_WORDS = ("card", "item", "entry", "row", "result", "product", "post", "list", "grid", "cell", "tile", "box")
+#: (kind, pattern, whether link texts count besides the container's class)
+LIST_KINDS = (
+    ("episode-list", "episod|capitul|chapter", True),
+    ("server-list", "server|servidor|player|reproductor|video", True),
+    ("navigation", "nav|menu|header", False),
+    ("search-results", "result|search", False),
+)
+PLAYER_BLOCKS = "server|servidor|player|reproductor|tab|option|source"
+BATCH_SELECT = r"cargar\s+im[aá]genes|load\s+images|images?\s+per\s+page|batch\s+size|images?\s+at\s+once"
+PAGE_SELECTS = ("sl-page", "page-select", "pagination")
+PLAYER_FILE = r"[\"']file[\"']\s*:\s*[\"']([^\"']+\.(?:m3u8|mp4)[^\"']*)[\"']"
+PLAYER_SETUP = r"jwplayer\s*\(\s*[\"'][^\"']*[\"']\s*\)\s*\.\s*setup\s*\(\s*(\{[\s\S]*?\})\s*\)\s*;"
+MEDIA_URLS = (r"https?://[^\"'\s<>]+\.m3u8[^\"'\s<>]*", r"https?://[^\"'\s<>]+\.mp4[^\"'\s<>]*")
+FRAME_SOURCE = r"<iframe[^>]+src=[\"']([^\"']+)[\"']"
+
+MOST_PAGES = 50
+SPACES = r"\s+"
+
+# -- fixed values: filters, ranking, groups, readers ------------------------------
+STATIC_FILES = r"\.(ico|png|svg|woff2?|css|js|ttf|eot)(\?|$)|favicon\.ico"
+RANK_WORDS = "ver|watch|play|episodio|episode|capitulo|chapter|pelicula|movie|serie|anime|dragon|naruto|bleach|temporada|season|manga|descarg|download"
+RANK_SKIP = "login|iniciar|regist|cuenta|perfil|discord|telegram|facebook|instagram|whatsapp|chat|cookie|privac"
+GROUP_SKIP = "login|iniciar|regist|cuenta|discord|telegram|facebook|instagram|chat|cookie|privac|dmca"
+READER_URL = "/chapter/|/reader/|/leer/|/capitulo/|/episodio/|/ver/"
+READER_TEXT = "anterior|siguiente|prev|next|recargar|reload|download|descarg"
+SERVER_WORDS = "server|servidor|opcion|mirror|source|cdn|host|calidad|quality|video|player"
+CHALLENGE = "cloudflare|attention required|just a moment|checking your browser"
+FAILING_RATE = 30
+#: Elements that any site has: patterns for the text, the selector, and both together.
+SKELETON_TEXT = (
+    r"login|sign.?in|sign.?up|register|regist|iniciar\s*sesi|cerrar\s*sesi|logout|cuenta|account|perfil|profile|contrase|password|olvid|forgot",
+    "discord|telegram|facebook|twitter|instagram|whatsapp|reddit|tiktok|youtube",
+    "cookie|privac|dmca|terms|tos|condiciones|aceptar|rechazar",
+)
+SKELETON_SELECTOR = ("nav|menu|header|footer|sidebar|breadcrumb", r"^footer|\.footer")
+SKELETON_BOTH = "language|idioma|lang|currency|moneda|region|pais"
+RECOMMENDATIONS = (
+    ("card-grid+search-input", "Catalogo detectado: usar filtro de busqueda para encontrar item"),
+    ("episode-list", "Lista de episodios detectada: extraer y ordenar"),
+    ("server-container", "Contenedores de servidores detectados: interactuar con tabs/botones"),
+    ("video-player-server-container", "Reproductor detectado: extraer iframe directamente"),
+    ("pagination", "Paginacion detectada: navegar paginas secuencialmente"),
+    ("tabs", "Tabs detectados: clickear cada tab para revelar contenido"),
+)
+NO_RECOMMENDATION = "Estructura no reconocida: usar analisis manual de DOM"
+#: (goal, pattern on texts or URLs, whether only URLs count, points), and the words of each goal.
+GOAL_SIGNALS = (
+    ("manga", "manga|manhwa|manhua", False, 25), ("manga", r"cap[ií]tulo|chapter|ch\.?\s*\d", False, 20), ("manga", "tomos|volumen|volume|tankobon|one.?shot|doujin", False, 15),
+    ("manga", r"p[aá]gina\s*\d|page\s*\d", False, 10), ("manga", "/manga/|/capitulo/|/chapter/|/leer/|/read/|/reader/", True, 25),
+    ("video", r"anime|episodio|episode|pel[ií]cula|movie|serie|hentai|dragon\s*ball|naruto|one\s*piece", False, 25), ("video", "episodio|episode|temporada|season|ova|ona|pelicula", False, 20),
+    ("video", "/ver/|/episodio/|/episode/|/anime/", True, 25),
+)
+GOAL_WORDS = (
+    ("image", "galer[ií]a|gallery|im[aá]genes|wallpaper|fanart|artwork|fotos", 30), ("download", "descarg|download|zip|rar|torrent|magnet|archivo|file", 25),
+    ("document", "pdf|documento|document|libro|book|biblioteca|library|paper", 25),
+)
+GOAL_FILTERS = (
+    ("manga", "manga|manhwa|manhua|cap[ií]tulo|chapter|tomos|leer|one.?shot|doujin"), ("image", "im[aá]gen|wallpaper|fanart|galer[ií]a|gallery|foto|artwork|scan|render"),
+    ("download", "descarg|download|zip|rar|torrent|magnet|archivo|file|mediafire|mega"), ("document", "pdf|documento|document|libro|book|paper|biblioteca|library|leer|descarg"),
+    ("video", "ver|watch|play|episodio|episode|capitulo|chapter|pelicula|movie|serie|anime|dragon|naruto|bleach|temporada|season"),
+)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -79,6 +80,15 @@ def circuit_states(events: DataFrame, threshold: int = 5, reset_ms: int = 300_00
     return events.select("provider", "seq", "ts_ms", "success").groupBy("provider").applyInPandas(fold, CIRCUIT_SCHEMA)
 
 
+def reset(states: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """``states`` with the circuits of ``providers`` (all without them) as at the start."""
+    fresh = {"state": F.lit("closed"), "failures": F.lit(0).cast("long"), "successes": F.lit(0).cast("long"), "refused": F.lit(0).cast("long"), "opened_at": F.lit(-1).cast("long")}
+    if providers is None:
+        return states.select("provider", *(v.alias(k) for k, v in fresh.items()))
+    marked = states.join(providers.select("provider", F.lit(True).alias("again")), "provider", "left")
+    return marked.select("provider", *(F.when(F.col("again"), v).otherwise(F.col(k)).alias(k) for k, v in fresh.items()))
+
+
 def throttle_delays(events: DataFrame) -> DataFrame:
     """Delay of each provider after its responses (provider, seq, status)."""
 

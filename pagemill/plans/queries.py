@@ -24,12 +24,13 @@ def rule(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return f
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(name: str, spark: SparkSession, sf_dir: str, d: Dialect = SPARK) -> DataFrame:
     """Run a rule over the Parquet tables of a folder."""
-    body = RULES[name](SPARK)
+    body = RULES[name](d)
     used = [t for t in _TABLES if t in re.findall(r"\w+", body)]
-    with_ = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used)
-    return spark.sql(f"WITH {with_} {body}")
+    source = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in used} | ({"pages": d.pages} if d.pages else {})
+    with_ = ", ".join(f"{t} AS (SELECT * FROM {source[t]})" for t in used)
+    return spark.sql(f"WITH {with_} {body}" if used else body)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -57,7 +58,7 @@ def whole_sums(sql: str) -> str:
         inner = sql[i + 4 : end - 1]
         window = sql[end:].startswith(" OVER (")
         call = f"sum({whole_sums(inner)})"
-        if window or inner in _DOUBLE_SUMS or "e0" in inner or "e-" in inner:
+        if window or inner in _DOUBLE_SUMS or re.search(r"\de-?\d", inner):
             out += sql[at:i] + call
         else:
             out += f"{sql[at:i]}CAST({call} AS BIGINT)"
@@ -122,7 +123,7 @@ def url_path_pattern(d: Dialect) -> str:
 def url_identifiers(d: Dialect) -> str:
     """U21 U25 U26 U28."""
     slug, title = U.identifiers(d, "url")
-    return f"SELECT page_id, {slug} AS slug, {title} AS title, {U.cookie_pair(d, 'concat(url, {})'.format(lit('; Path=/')))} AS cookie, {U.escape_html(d, 'substr(html, 1, 200)')} AS escaped FROM pages"
+    return f"SELECT page_id, {slug} AS slug, {title} AS title, {U.cookie_pair(d, 'concat(url, {})'.format(lit('; Path=/')))} AS cookie, md5({U.escape_html(d, 'html')}) AS escaped FROM pages"
 
 
 @rule
@@ -134,9 +135,10 @@ def url_pagination(d: Dialect) -> str:
 
 @rule
 def page_url_expand(d: Dialect) -> str:
-    """The first three page URLs of each paginated page."""
-    numbers = "SELECT explode(sequence(1, 3)) AS n" if d.spark else "SELECT unnest([1, 2, 3]) AS n"
-    return f"SELECT page_id, n, {U.page_url(d, 'template', 'n')} AS page_url FROM ({url_pagination(d)}) u_t, ({numbers}) u_n WHERE pattern <> 'none'"
+    """The page URLs of each paginated page, fifty at most as the crawl sets; as many as it says, else up to the one it shows."""
+    last = f"least({R.MOST_PAGES}, greatest(1, CASE WHEN total_pages > 0 THEN total_pages ELSE coalesce(current_page, 1) END))"
+    numbers = f"LATERAL VIEW explode(sequence(1, last)) u_n AS n" if d.spark else ", LATERAL (SELECT unnest(range(1, last + 1)) AS n) u_n"
+    return f"SELECT page_id, CAST(n AS INT) AS n, {U.page_url(d, 'template', 'n')} AS page_url FROM (SELECT *, CAST({last} AS INT) AS last FROM ({url_pagination(d)}) u_t WHERE pattern <> 'none') u_l {numbers}"
 
 
 @rule
@@ -177,18 +179,25 @@ def url_antijoin(d: Dialect) -> str:
     """Links that no earlier page of the scan had, without ads and static files."""
     known = f"SELECT url, min(page_id) AS first_page FROM ({V.links(d)}) u_k GROUP BY url"
     first = f"SELECT l.page_id, l.url, min(l.seq) AS seq FROM ({V.links(d)}) l JOIN ({known}) k ON l.url = k.url AND l.page_id = k.first_page GROUP BY l.page_id, l.url"
-    return f"SELECT * FROM ({first}) u_f WHERE url <> '' AND NOT {d.like('lower(url)', R.AD_HOSTS)} AND NOT {d.like('lower(url)', STATIC_FILES)}"
+    return f"SELECT * FROM ({first}) u_f WHERE url <> '' AND NOT {d.like('lower(url)', R.AD_HOSTS)} AND NOT {d.like('lower(url)', R.STATIC_FILES)}"
 
 
-#: Static files by extension, and favicons.
-STATIC_FILES = r"\.(css|js|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf)(\?|$)|favicon"
+@rule
+def substring_join(d: Dialect) -> str:
+    """Catalog entries whose URL holds a node's, or whose domain a node's URL holds, counted for each node."""
+    nodes = f"SELECT DISTINCT {U.host(d, 'url')} AS node FROM ({V.urls_of_pages(d)}) j_n"
+    entries = f"SELECT url, {U.domain(d, 'url')} AS domain FROM ({V.urls_of_pages(d)}) j_e"
+    # Both ways of containing stand between hosts, of which there are few; URLs are counted by host first.
+    hosts = f"SELECT {U.host(d, 'url')} AS host, domain, count(*) AS n FROM ({entries}) j_h GROUP BY {U.host(d, 'url')}, domain"
+    return f"SELECT n.node, sum(h.n) AS hits FROM ({nodes}) n JOIN ({hosts}) h ON contains(h.host, n.node) OR contains(n.node, h.domain) GROUP BY n.node"
 
 
 @rule
-def substring_join(d: Dialect) -> str:
-    """Servers whose name stands in a page's first link texts."""
-    names = "UNION ALL ".join(f"SELECT {lit(x)} AS name " for x in ("the", "and", "ing", *(s.lower() for s in R.KNOWN_SERVERS[:5])))
-    return f"SELECT n.name, count(*) AS hits, count(DISTINCT l.page_id) AS n_pages FROM ({V.links(d)}) l JOIN ({names}) n ON contains(lower(l.url), n.name) GROUP BY n.name"
+def known_servers(d: Dialect) -> str:
+    """Labels that hold the name of a known server."""
+    label = cases([(f"page_id % {len(R.KNOWN_SERVERS) + 6} = {i}", lit(f"Opcion {x} HD")) for i, x in enumerate(R.KNOWN_SERVERS)], "'server 1'")
+    known = " OR ".join(f"contains(lower(label), {lit(x.lower())})" for x in R.KNOWN_SERVERS)
+    return f"SELECT page_id, label, ({known}) AS known FROM (SELECT page_id, {label} AS label FROM pages) j_l"
 
 
 @rule
@@ -265,10 +274,8 @@ def title_similarity(d: Dialect) -> str:
 
 @rule
 def cross_source_match(d: Dialect) -> str:
-    """The best title of each source for a query, of 0.4 and more; every title is a query, but in the DuckDB SQL the first twelve."""
+    """The best title of each source for a query, of 0.4 and more; every title is a query."""
     wanted = f"SELECT title AS query FROM ({V.titles(d)}) t_t"
-    if d is DUCK:
-        wanted = "SELECT title AS query FROM (SELECT title, row_number() OVER (ORDER BY title) AS rn FROM (" + V.titles(d) + ") t_t) t_r WHERE rn <= 12"
     scored = f"SELECT q.query, c.source, c.title, c.results, {X.title_similarity(d, 'q.query', 'c.title')} AS score FROM ({V.candidates(d)}) c JOIN ({wanted}) q ON true"
     return f"SELECT query, source, title, results, score FROM (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, title) AS rn FROM ({scored}) t_s WHERE score >= 4e-1) t_k WHERE rn = 1"
 
@@ -334,7 +341,7 @@ def page_type(d: Dialect) -> str:
         "langs": d.like(text_class, "idioma|language|lang|audio|dub|sub|latino|castellano|japones|english"), "embeds": "type = 'link' AND href <> '' AND " + d.like("lower(concat(href, e_text))", "embed|player|video|stream|watch|ver"),
     }
     sums = f"SELECT page_id, {', '.join(f'{count(c)} AS {n}' for n, c in aggs.items())} FROM {_elements(d)} GROUP BY page_id"
-    cards = f"SELECT DISTINCT page_id, 1 AS cards FROM ({repeating_classes(d)}) e_c"
+    cards = f"SELECT DISTINCT page_id, 1 AS cards FROM ({_repeating(_elements(d), 4)}) e_c"
     rows = f"SELECT s.*, coalesce(c.cards, 0) AS cards, lower(p.url) AS u FROM ({sums}) s JOIN pages p ON p.page_id = s.page_id LEFT JOIN ({cards}) c ON c.page_id = s.page_id"
     when = lambda cond, n: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
     listing = " + ".join([when("cards > 0", 30), when("links > 20", 15), when("paged > 0", 15), when("inputs > 0", 10), when(d.like("u", "catalogo|directory|browse|list|home|index|inicio"), 15)])
@@ -352,10 +359,30 @@ def page_type(d: Dialect) -> str:
     return f"SELECT page_id, a AS listing, b AS detail, c AS content, s AS search, {kind} AS type, CASE WHEN {best} >= 20 THEN least(100, {best}) ELSE 0 END AS confidence, {plan} AS strategy FROM ({scored}) e_k"
 
 
+def _repeating(source: str, least: int) -> str:
+    """A page's five most repeated first classes of 3 to 39 letters, the first seen of equals."""
+    counts = f"SELECT page_id, cls, count(*) AS n, min(seq) AS seen FROM {source} WHERE length(cls) BETWEEN 3 AND 39 GROUP BY page_id, cls HAVING count(*) >= {least}"
+    return f"SELECT page_id, cls, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, seen) AS rank FROM ({counts}) e_c) e_k WHERE rank <= 5"
+
+
+def _class_source(d: Dialect) -> str:
+    return f"({V.page_elements(d) if d.elements else V.class_members(d)}) e_m"
+
+
 @rule
 def repeating_classes(d: Dialect) -> str:
-    """A page's five most repeated link words of 3 to 39 letters, from two on."""
-    return f"SELECT page_id, e_text AS cls, n FROM (SELECT page_id, e_text, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(seq)) AS rn FROM {_elements(d)} WHERE length(e_text) BETWEEN 3 AND 39 GROUP BY page_id, e_text HAVING count(*) >= 2) e_c WHERE rn <= 5"
+    """Repeated classes, from four on, and the elements whose classes hold the name."""
+    top = _repeating(_class_source(d), 4)
+    return f"SELECT r.page_id, r.cls, r.n, r.rank, count(*) AS holding FROM ({top}) r JOIN {_class_source(d)} ON e_m.page_id = r.page_id AND contains(e_m.class, r.cls) GROUP BY r.page_id, r.cls, r.n, r.rank"
+
+
+@rule
+def card_classes(d: Dialect) -> str:
+    """Class names of 3 to 40 letters with a card's keyword on 3 to 500 elements of a page, the five most frequent."""
+    words = "|".join(R.CARD_WORDS)
+    tokens = f"SELECT page_id, seq, t.tok AS tok FROM {_class_source(d)} {d.numbered(d.keep(d.split('class', R.SPACES), 'length(x) BETWEEN 3 AND 40'), 't', 'tok')}"
+    counts = f"SELECT page_id, tok AS cls, count(*) AS n, min(seq) AS seen FROM ({tokens}) e_t WHERE {d.like('lower(tok)', words)} GROUP BY page_id, tok HAVING count(*) BETWEEN 3 AND 500"
+    return f"SELECT page_id, cls, n, least(5 * n, 100) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, seen, cls) AS rank FROM ({counts}) e_c) e_k WHERE rank <= 5"
 
 
 @rule
@@ -366,19 +393,113 @@ def page_goal(d: Dialect) -> str:
 
 @rule
 def element_groups(d: Dialect) -> str:
-    """Groups of 2 to 20 clickable members with three first classes at most, less login and social words."""
-    usable = f"type IN ('clickable', 'link') AND length(e_text) > 1 AND NOT {d.like('e_text', 'login|regist|discord|telegram|facebook|twitter')}"
-    return f"SELECT page_id, substr(e_text, 1, 1) AS grp, count(*) AS members, count(DISTINCT cls) AS classes, {d.joined('substr(e_text, 1, 30)', '|', 'seq')} AS labels FROM {_elements(d)} WHERE {usable} GROUP BY page_id, substr(e_text, 1, 1) HAVING count(*) BETWEEN 2 AND 20 AND count(DISTINCT cls) <= 3"
+    """A parent's 2 to 20 clickable children of three first classes at most, two of them and more without login and social words."""
+    own = f"type IN ('clickable', 'link') AND length(txt) > 1"
+    valid = f"NOT {d.like('e_text', R.GROUP_SKIP)}"
+    one = lambda x: f"CASE WHEN {valid} THEN {x} END"
+    rows = f"SELECT *, CASE WHEN coalesce(parent, '') = '' THEN 'root' ELSE parent END AS grp FROM {_elements(d)} WHERE {own}"
+    labels = f"SELECT page_id, grp, seq, txt FROM ({rows}) e_l WHERE {valid}"
+    sums = f"SELECT page_id, grp, sum(CASE WHEN {valid} THEN 1 ELSE 0 END) AS members, count(DISTINCT nullif(cls, '')) AS classes, min({one('seq')}) AS first_seq FROM ({rows}) e_r GROUP BY page_id, grp HAVING count(*) BETWEEN 2 AND 20 AND count(DISTINCT nullif(cls, '')) <= 3"
+    joined = f"SELECT page_id, grp, {d.joined('substr(txt, 1, 30)', '|', 'seq')} AS labels FROM ({labels}) e_j GROUP BY page_id, grp"
+    return f"SELECT s.page_id, s.grp, s.members, s.classes, s.first_seq, j.labels FROM ({sums}) s JOIN ({joined}) j ON j.page_id = s.page_id AND j.grp = s.grp WHERE s.members >= 2"
 
 
 @rule
 def search_ranking(d: Dialect) -> str:
-    """Per page the two links most like the query."""
-    sim = X.similarity(d, lit("the thing and other"), "e_text")
-    scored = f"SELECT page_id, seq, e_text, sim, 60 * sim + CASE WHEN {d.like('e_text', 'the|and')} THEN 20 ELSE 0 END AS score FROM (SELECT *, {sim} AS sim FROM {_elements(d)} WHERE type = 'link' AND length(e_text) > 3) e_m"
+    """Per page the two links most like the page's first one, with points for content words and half the class's boost, and fewer for login and social ones."""
+    sim = X.similarity(d, "q.term", "e_text")
+    usable = f"type IN ('link', 'clickable') AND length(txt) > 3 AND href <> '' AND NOT {d.like('href', '^(#|javascript:)')}"
+    boosts = f"SELECT name, boost FROM ({session_boosts(d)}) e_b WHERE kind = 'class'"
+    terms = f"SELECT page_id, {d.first('e_text', 'seq')} AS term FROM {_elements(d)} WHERE {usable} GROUP BY page_id"
+    rows = f"SELECT e.page_id, e.seq, e.e_text, e.href, e.e_class, coalesce(b.boost, 0) AS boost, {sim} AS sim FROM {_elements(d).replace(') e_v', ') e')} JOIN ({terms}) q ON q.page_id = e.page_id LEFT JOIN ({boosts}) b ON b.name = e.cls WHERE {usable}"
+    score = f"60 * sim + CASE WHEN {d.like('lower(concat(e_text, href, e_class))', R.RANK_WORDS)} THEN 20 ELSE 0 END + 5e-1 * boost - CASE WHEN {d.like('e_text', R.RANK_SKIP)} THEN 50 ELSE 0 END"
+    scored = f"SELECT page_id, seq, e_text, sim, {d.half_up(score, 6)} AS score FROM ({rows}) e_m"
     return f"SELECT page_id, seq, e_text, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, seq) AS rank FROM ({scored}) e_s WHERE score > 15 AND sim > 15e-2) e_k WHERE rank <= 2"
 
 
+@rule
+def content_score_memory(d: Dialect) -> str:
+    """Relevance with the memory's type and class boosts and its prediction."""
+    base = E.relevance(d, f"({E.intents(d, _elements(d))}) e_i")
+    boosts = session_boosts(d)
+    typed = "CASE type WHEN 'link' THEN 'click' WHEN 'heading' THEN 'view' ELSE 'purchase' END"
+    known = "CASE WHEN seq % 3 = 0 THEN 'btn-server' WHEN seq % 3 = 1 THEN 'card-item' ELSE 'header' END"
+    rows = f"SELECT page_id, seq, score AS base, {typed} AS mem_type, {known} AS mem_class FROM ({base}) e_b"
+    met = f"SELECT r.page_id, r.seq, r.base, coalesce(t.boost, 0) AS tb, coalesce(c.boost, 0) AS cb FROM ({rows}) r LEFT JOIN ({boosts}) t ON t.kind = 'type' AND t.name = r.mem_type LEFT JOIN ({boosts}) c ON c.kind = 'class' AND c.name = r.mem_class"
+    weight = "(CASE WHEN tb > 0 THEN 1e0 ELSE 0e0 END + CASE WHEN cb > 0 THEN 15e-1 ELSE 0e0 END)"
+    estimate = f"(CASE WHEN {weight} > 0 THEN least(1e0, (tb / 25e0 + cb / 20e0) / {weight}) ELSE 5e-1 END)"
+    points = f"CASE WHEN {weight} / 3e0 > 3e-1 AND {estimate} > 5e-1 THEN {d.half_up(estimate + ' * 15')} ELSE 0 END"
+    total = f"least(100, greatest(0, {d.long(f'base + least(tb, 20) + least(cb, 15) + {points}')}))"
+    return f"SELECT page_id, seq, base, tb, cb, {total} AS score FROM ({met}) e_m"
+
+
+@rule
+def page_report(d: Dialect) -> str:
+    """E5: a page's elements by action and relevance; where a selector repeats, the last one's zone counts."""
+    whole = E.zones(d, f"({E.relevance(d, f'({E.intents(d, _elements(d))}) e_i')}) e_s")
+    last = f"SELECT page_id, zone, seq, row_number() OVER (PARTITION BY page_id, selector ORDER BY seq DESC) AS back, min(seq) OVER (PARTITION BY page_id, selector) AS seen FROM ({whole}) e_w"
+    zones = f"SELECT page_id, zone, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(seen)) AS rn FROM ({last}) e_l WHERE back = 1 GROUP BY page_id, zone"
+    count = lambda cond: f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"
+    acts = ", ".join(f"{count(f'action = {lit(a)}')} AS {n}" for a, n in (("switch-server", "servers"), ("play-video", "videos"), ("download", "downloads"), ("navigate-episode", "episodes")))
+    sums = f"SELECT page_id, count(DISTINCT selector) AS selectors, {count(lit('high') + ' = relevance')} AS high, {count('relevance <> ' + lit('skip'))} AS content, {acts} FROM ({whole}) e_t GROUP BY page_id"
+    return f"SELECT s.*, z.zone AS dominant_zone FROM ({sums}) s JOIN ({zones}) z ON z.page_id = s.page_id AND z.rn = 1"
+
+
+@rule
+def semantic_tree(d: Dialect) -> str:
+    """Types of thirty elements at most, the first fifteen of each, with the intent as role."""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY page_id, type ORDER BY seq) AS rn, count(*) OVER (PARTITION BY page_id, type) AS n FROM ({E.intents(d, _elements(d))}) e_i"
+    return f"SELECT page_id, seq, type, action AS role, CASE WHEN txt <> '' THEN txt ELSE tag END AS label, intent_confidence AS confidence, type IN ('clickable', 'link') AS clicks FROM ({ranked}) e_r WHERE n <= 30 AND rn <= 15"
+
+
+@rule
+def site_analysis(d: Dialect) -> str:
+    """Page type with identifiers, protection by status, pagination by URL or element, and server elements."""
+    slug, title = U.identifiers(d, "p.url")
+    paged = " OR ".join(d.like("lower(p.url)", x) for x in (r"_\d+\.html$", r"[?&]page=\d+", r"/page/\d+"))
+    sums = f"SELECT page_id, max(CASE WHEN {d.like('concat(e_class, e_text)', 'pagin|page|naveg|pagina')} THEN 1 ELSE 0 END) AS paged, sum(CASE WHEN type IN ('clickable', 'link') AND {d.like('concat(e_text, e_class)', R.SERVER_WORDS)} THEN 1 ELSE 0 END) AS servers FROM {_elements(d)} GROUP BY page_id"
+    status = "CASE p.page_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 503 ELSE 200 END"
+    return f"SELECT p.page_id, t.type, t.confidence, {slug} AS slug, {title} AS title, {status} IN (403, 503) AS protected, (({paged}) OR s.paged = 1) AS paginated, s.servers >= 2 AS has_servers FROM pages p JOIN ({page_type(d)}) t ON t.page_id = p.page_id JOIN ({sums}) s ON s.page_id = p.page_id"
+
+
+@rule
+def reader_pages(d: Dialect) -> str:
+    """Chapter pages by URL whose elements name a way on."""
+    texts = f"SELECT page_id, {d.joined('e_text', ' ', 'seq')} AS t FROM {_elements(d)} GROUP BY page_id"
+    url = "p.url" if d.pages else f"concat(p.url, CASE WHEN p.page_id % 3 = 0 THEN '/chapter/' WHEN p.page_id % 3 = 1 THEN '/ver/' ELSE '/x/' END)"
+    more = "t.t" if d.pages else "concat(t.t, CASE WHEN p.page_id % 2 = 0 THEN ' Siguiente' ELSE '' END)"
+    return f"SELECT p.page_id, ({d.like(f'lower({url})', R.READER_URL)} AND {d.like(f'lower({more})', R.READER_TEXT)}) AS reader FROM pages p JOIN ({texts}) t ON t.page_id = p.page_id"
+
+
+@rule
+def content_goal(d: Dialect) -> str:
+    """The best of the additive and fixed signals of a page's goal, and the words that the goal then looks for."""
+    texts = f"SELECT page_id, lower({d.joined('concat(txt, {}, class)'.format(lit(' ')), ' ', 'seq')}) AS t, lower({d.joined('href', ' ', 'seq')}) AS u, max(CASE WHEN type IN ('iframe', 'media') THEN 1 ELSE 0 END) AS media, sum(CASE WHEN type = 'image' THEN 1 ELSE 0 END) AS images, sum(CASE WHEN type = 'link' THEN 1 ELSE 0 END) AS links FROM {_elements(d)} GROUP BY page_id"
+    rows = f"SELECT *, concat(t, ' ', u) AS w FROM ({texts}) e_t"
+    add = lambda goal: " + ".join(f"CASE WHEN {d.like('u' if url else 'w', p)} THEN {n} ELSE 0 END" for g, p, url, n in R.GOAL_SIGNALS if g == goal)
+    pics = d.like("u", r"\.(jpg|jpeg|png|webp|avif)(\?|$)")
+    # Signals in the order in which they are found: an earlier one wins a tie.
+    signals = [("manga", f"{add('manga')} + CASE WHEN {pics} AND images > 10 THEN 15 ELSE 0 END"), ("video", add("video"))]
+    signals += [(g, f"CASE WHEN {d.like('w', p)} THEN {n} ELSE 0 END") for g, p, n in R.GOAL_WORDS]
+    files = d.like("u", r"/descargar/|/download/|\.zip|\.rar|\.pdf")
+    signals += [("video", "CASE WHEN media = 1 THEN 20 ELSE 0 END"), ("image", "CASE WHEN images > 15 THEN 15 ELSE 0 END"), ("manga", "CASE WHEN images > 5 AND media = 0 THEN 10 ELSE 0 END"), ("download", "CASE WHEN links > 40 THEN 10 ELSE 0 END"), ("download", f"CASE WHEN {files} THEN 20 ELSE 0 END")]
+    cols = ", ".join(f"{x} AS g_{i}" for i, (_, x) in enumerate(signals))
+    best = f"greatest({', '.join(f'g_{i}' for i in range(len(signals)))})"
+    goal = cases([(f"{best} = 0", "'video'"), *((f"g_{i} = {best}", lit(g)) for i, (g, _) in enumerate(signals))], "'video'")
+    words = cases([(f"goal = {lit(g)}", d.text(p)) for g, p in R.GOAL_FILTERS], d.text(dict(R.GOAL_FILTERS)["video"]))
+    return f"SELECT page_id, goal, score, {words} AS words FROM (SELECT page_id, {goal} AS goal, {best} AS score FROM (SELECT page_id, {cols} FROM ({rows}) e_r) e_s) e_g"
+
+
+@rule
+def universal_skeleton(d: Dialect) -> str:
+    """Elements that any site has, by selector and text."""
+    text = [d.like("e_text", p) for p in R.SKELETON_TEXT]
+    sel = [d.like("lower(selector)", p) for p in R.SKELETON_SELECTOR]
+    both = d.like("concat(lower(selector), e_text)", R.SKELETON_BOTH)
+    rows = _elements(d) if d.elements else f"(SELECT page_id, seq, concat('div.', class) AS selector, concat(e_text, CASE WHEN seq % 7 = 0 THEN ' login' WHEN seq % 11 = 0 THEN ' cookie' ELSE '' END) AS e_text FROM ({V.class_members(d)}) e_c) e_v"
+    return f"SELECT page_id, seq, ({' OR '.join([*text, *sel, both])}) AS skeleton FROM {rows}"
+
+
 # -- skeletons ----------------------------------------------------------------------
 
 
@@ -401,7 +522,7 @@ def skeleton_texts(d: Dialect) -> str:
 
 @rule
 def skeleton_filter(d: Dialect) -> str:
-    """Elements that are not part of a host's skeleton."""
+    """Elements that are not part of a host's skeleton."""
     sel = "CASE WHEN cls <> '' THEN concat(tag, '.', cls) ELSE tag END"
     rows = f"SELECT h.host, e.page_id, e.seq, e.tag, {sel} AS selector FROM ({V.page_elements(d)}) e JOIN ({V.page_host(d)}) h ON h.page_id = e.page_id"
     return f"SELECT r.page_id, r.seq, r.tag FROM ({rows}) r WHERE NOT EXISTS (SELECT 1 FROM ({skeleton_selectors(d)}) s WHERE s.host = r.host AND s.selector = r.selector)"
@@ -460,9 +581,45 @@ def predict_success(d: Dialect) -> str:
 
 @rule
 def skip_classes(d: Dialect) -> str:
-    """classes of a domain that failed three times and more and never succeeded."""
-    sums = f"SELECT domain, element_type, class, sum(CASE WHEN {_WON} THEN 1 ELSE 0 END) AS won, sum(CASE WHEN {_WON} THEN 0 ELSE 1 END) AS lost FROM ({V.attempts(d)}) l_a GROUP BY domain, element_type, class"
-    return f"SELECT domain, element_type, class, lost FROM ({sums}) l_s WHERE won = 0 AND lost >= 3"
+    """classes of a domain that failed three times and more and never succeeded; names of the rarer ones carry the domain's number."""
+    rows = f"SELECT domain, CASE WHEN seq % 5 = 0 THEN concat(class, '-', {V.string(d, 'seq % 40')}) ELSE class END AS class, {_WON} AS won FROM ({V.attempts(d)}) l_a"
+    sums = f"SELECT domain, class, sum(CASE WHEN won THEN 1 ELSE 0 END) AS won, sum(CASE WHEN won THEN 0 ELSE 1 END) AS lost FROM ({rows}) l_r WHERE class <> '' GROUP BY domain, class"
+    return f"SELECT domain, class, lost FROM ({sums}) l_s WHERE won = 0 AND lost >= 3"
+
+
+@rule
+def skipped_elements(d: Dialect) -> str:
+    """Elements that are passed over: of a failed class, or of one that failed three times as often as it succeeded, five times and more, and whose boost is at most five."""
+    sums = f"SELECT domain, class, sum(CASE WHEN {_WON} THEN urls_found ELSE 0 END) AS won, sum(CASE WHEN {_WON} THEN 0 ELSE 1 END) AS lost FROM ({V.attempts(d)}) l_a WHERE class <> '' GROUP BY domain, class"
+    boost = f"SELECT name, boost FROM ({session_boosts(d)}) l_b WHERE kind = 'class'"
+    rule_ = "(s.lost >= 3 AND s.won = 0) OR (b.boost > 0 AND b.boost <= 5 AND s.lost > 3 * s.won AND s.lost >= 5)"
+    seen = f"SELECT seq, domain, class, row_number() OVER (PARTITION BY domain, element_type, class ORDER BY seq) AS turn FROM ({V.attempts(d)}) l_e"
+    return f"SELECT e.seq, e.domain, e.class, (coalesce({rule_}, false) OR e.turn > 1) AS skipped FROM ({seen}) e LEFT JOIN ({sums}) s ON s.domain = e.domain AND s.class = e.class LEFT JOIN ({boost}) b ON b.name = e.class"
+
+
+@rule
+def top_classes(d: Dialect) -> str:
+    """A domain's five classes of most URLs, and whether the class has the domain's best posterior mean; what is meant, not the unreachable original."""
+    sums = f"SELECT domain, class, sum(CASE WHEN {_WON} THEN urls_found ELSE 0 END) * 1e0 AS won, sum(CASE WHEN {_WON} THEN 0 ELSE 1 END) AS lost, min(seq) AS seen FROM ({V.attempts(d)}) l_a WHERE class <> '' GROUP BY domain, class"
+    ranked = f"SELECT domain, class, won, {d.half_up(_mean('won', 'lost'), 6)} AS mean, row_number() OVER (PARTITION BY domain ORDER BY won DESC, seen) AS rank, row_number() OVER (PARTITION BY domain ORDER BY {d.half_up(_mean('won', 'lost'), 6)} DESC, seen) AS best FROM ({sums}) l_s"
+    return f"SELECT domain, class, won, mean, rank, best = 1 AS is_best FROM ({ranked}) l_r WHERE rank <= 5"
+
+
+@rule
+def adaptive_report(d: Dialect) -> str:
+    """Boosts, best predictions and top patterns in one table of (section, name, value)."""
+    boosts = f"SELECT concat(kind, 'Boosts') AS section, name, boost * 1e0 AS value FROM ({session_boosts(d)}) l_b"
+    preds = f"SELECT 'predictions' AS section, element_type AS name, max(estimate) AS value FROM ({predict_success(d)}) l_p GROUP BY element_type"
+    tops = f"SELECT 'topPatterns' AS section, concat(class, '#', {V.string(d, 'seq')}) AS name, urls_found * 1e0 AS value FROM ({top_patterns(d)}) l_t WHERE rank <= 5"
+    return f"{boosts} UNION ALL {preds} UNION ALL {tops}"
+
+
+@rule
+def selector_stats(d: Dialect) -> str:
+    """A provider's ten selectors of best rate, the first seen of equals."""
+    rows = f"SELECT seq, provider, concat('.', CASE event_id % 12 WHEN 0 THEN 'good-btn' WHEN 1 THEN 'bad-btn' ELSE concat('btn-', {V.string(d, 'event_id % 12')}) END) AS selector, success FROM (SELECT *, seq AS event_id FROM ({V.engine_attempts(d)}) l_e) l_f"
+    sums = f"SELECT provider, selector, count(*) AS attempts, sum(CASE WHEN success THEN 1 ELSE 0 END) AS won, min(seq) AS seen FROM ({rows}) l_r GROUP BY provider, selector"
+    return f"SELECT provider, selector, attempts, {d.half_up('won * 1e0 / attempts', 6)} AS rate, rank FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY won * 1e0 / attempts DESC, seen) AS rank FROM ({sums}) l_s) l_k WHERE rank <= 10"
 
 
 @rule
@@ -479,7 +636,7 @@ def kb_selectors(d: Dialect) -> str:
 
 @rule
 def profile_merge(d: Dialect) -> str:
-    """Two profiles' selectors joined, rates weighted by attempts."""
+    """Two profiles' selectors joined, rates weighted by attempts, the twenty of best rate."""
     half = lambda k: f"SELECT action, count(*) AS n, avg(CASE WHEN success THEN 1e0 ELSE 0e0 END) AS rate FROM ({V.steps(d)}) l_h WHERE user_id % 2 = {k} GROUP BY action"
     return f"SELECT action, sum(n) AS attempts, {d.half_up('sum(rate * n) / sum(n)', 6)} AS rate FROM (({half(0)}) UNION ALL ({half(1)})) l_m GROUP BY action"
 
@@ -517,13 +674,13 @@ def health_summary(d: Dialect) -> str:
 
 @rule
 def failing_providers(d: Dialect) -> str:
-    """three attempts and more, under 80 percent, from the lowest."""
-    return f"SELECT provider, success_pct, rank FROM (SELECT *, row_number() OVER (ORDER BY success_pct, provider) AS rank FROM ({provider_stats(d)}) p_p WHERE n >= 3 AND success_pct < 80) p_r"
+    """Providers of three attempts and more, the best first, and whether they fail: under 30 percent."""
+    return f"SELECT provider, success_pct, success_pct < {R.FAILING_RATE} AS failing, rank FROM (SELECT *, row_number() OVER (ORDER BY success_pct DESC, provider) AS rank FROM ({provider_stats(d)}) p_p WHERE n >= 3) p_r"
 
 
 @rule
 def engine_order(d: Dialect) -> str:
-    """Engines by rate times confidence less a penalty, missing ones after."""
+    """Engines by rate times confidence less a penalty, missing ones after."""
     dim = "SELECT 'static' AS engine, 0 AS place, 0e0 AS penalty UNION ALL SELECT 'dynamic', 1, 6e-2 UNION ALL SELECT 'intelligent', 2, 3e-2"
     stats = f"SELECT provider, engine, count(*) AS n, sum(CASE WHEN success THEN 1 ELSE 0 END) AS won, min(seq) AS seen FROM ({V.engine_attempts(d)}) p_a GROUP BY provider, engine"
     grid = f"SELECT p.provider, g.engine, g.place, s.seen, CASE WHEN s.n IS NULL THEN NULL ELSE s.won * 1e0 / s.n * least(s.n / 5e0, 1e0) - g.penalty END AS score FROM (SELECT DISTINCT provider FROM ({stats}) p_d) p JOIN ({dim}) g ON true LEFT JOIN ({stats}) s ON s.provider = p.provider AND s.engine = g.engine"
@@ -550,7 +707,7 @@ def _walk(d: Dialect) -> str:
 
 @rule
 def nav_edges(d: Dialect) -> str:
-    """Edges of each user's walk, at their first step."""
+    """Edges of each user's walk, at their first step."""
     label = f"CASE WHEN action = 'navigate' THEN substr(target, 1, 40) WHEN action = 'dive' THEN 'dive: container' ELSE action END"
     return f"SELECT user_id, here AS from_url, target AS to_url, min(step) AS seq, {d.first(label, 'step')} AS label FROM ({_walk(d)}) g_w WHERE here <> target GROUP BY user_id, here, target"
 

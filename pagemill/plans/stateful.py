@@ -14,9 +14,6 @@ from pagemill.session import ship
 from pagemill.sources import html
 from pagemill.sources import views as V
 
-#: Steps that the DuckDB SQL of nav_depth takes; the query itself has no bound.
-MOST_DEPTH = 3
-
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -27,7 +24,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circuit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1 W2 F8 J14."""
+    """W1."""
     ship(spark)
     return state.circuit_states(_events(spark, sf_dir))
 
@@ -51,39 +48,47 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The meta tags of S16: one row for each name; not its JSON-LD."""
+    """The meta tags of S16: one row for each name."""
     ship(spark)
     return html.scan_metadata(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct URLs of a page in order."""
+    """Distinct URLs of a page in order."""
     ship(spark)
     return html.scan_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def circuit_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every provider's circuit, closed where none is known, and whether it is failing (open) or healthy (closed)."""
+    known = circuit_states(spark, sf_dir).where("provider <> 'p3'").select("provider", "state")
+    rows = Q.run("provider_stats", spark, sf_dir).select("provider", "success_pct").join(known, "provider", "left").withColumn("state", F.coalesce("state", F.lit("closed")))
+    return rows.withColumn("failing", F.col("state") == "open").withColumn("healthy", F.col("state") == "closed")
+
+
+def circuit_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circuits after those of every fourth provider are reset."""
+    states = circuit_states(spark, sf_dir)
+    return state.reset(states, states.select("provider").where("CAST(substr(provider, 2) AS INT) % 4 = 0"))
+
+
 def _roots(d: Dialect) -> str:
     return f"SELECT DISTINCT user_id AS graph, concat('http://u', {V.string(d, 'user_id')}, '.example.com/') AS url FROM events"
 
 
 def nav_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least depth of each page that the root reaches, and the first shortest path."""
+    """Least depth of each page, 0 where the root doesn't reach it; the first shortest path, and its reliability."""
     edges = Q.run("nav_edges", spark, sf_dir).withColumnRenamed("user_id", "graph")
     roots = spark.sql(f"WITH events AS (SELECT * FROM parquet.`{sf_dir}/events.parquet`) {_roots(SPARK)}")
-    return graph.shortest_paths(edges, roots)
-
-
-def _nav_depth_sql() -> str:
-    d = DUCK
-    steps = [f"e AS MATERIALIZED ({Q.oracle('nav_edges')})", f"d0 AS ({_roots(d)})"]
-    for i in range(1, MOST_DEPTH + 1):
-        steps.append(f"d{i} AS (SELECT DISTINCT e.user_id AS graph, e.to_url AS url FROM e JOIN d{i - 1} p ON p.graph = e.user_id AND p.url = e.from_url)")
-    union = " UNION ALL ".join(f"SELECT graph, url, {i} AS depth FROM d{i}" for i in range(MOST_DEPTH + 1))
-    return f"WITH {', '.join(steps)} SELECT graph, url, min(depth) AS depth FROM ({union}) u GROUP BY graph, url"
+    nodes = edges.select("graph", F.col("from_url").alias("url")).unionByName(edges.select("graph", F.col("to_url").alias("url"))).distinct()
+    got = nodes.join(graph.shortest_paths(edges, roots), ["graph", "url"], "left")
+    return got.select("graph", "url", F.coalesce("depth", F.lit(0)).alias("depth"), "path", F.when(F.col("path").isNotNull(), F.greatest(F.lit(0.5), F.round(1 - 0.1 * F.size("path"), 6))).alias("reliability"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "circuit_states": circuit_states,
+    "circuit_health": circuit_health,
+    "circuit_reset": circuit_reset,
     "throttle_delay": throttle_delay,
     "page_elements": page_elements,
     "page_images": page_images,
@@ -93,6 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "nav_depth": _nav_depth_sql(),
     "page_urls": f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS seq, url, 'link' AS kind FROM (SELECT page_id, url, min(seq) AS seq FROM ({V.links(DUCK)}) l WHERE url LIKE 'http%' OR url LIKE '/%' GROUP BY page_id, url) u",
 }

@@ -26,10 +26,26 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "attr", "parent", "parts", "children")
+    __slots__ = ("tag", "attr", "parent", "parts", "kids")
 
     def __init__(self, tag: str, attr: dict[str, str], parent: _Node | None) -> None:
-        self.tag, self.attr, self.parent, self.parts, self.children = tag, attr, parent, [], 0
+        self.tag, self.attr, self.parent, self.parts, self.kids = tag, attr, parent, [], []
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    @property
+    def cls(self) -> str:
+        return self.attr.get("class", "")
+
+    def below(self) -> Iterator[_Node]:
+        """Descendants in document order."""
+        todo = self.kids[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(reversed(node.kids))
 
     @property
     def first_class(self) -> str:
@@ -50,7 +66,7 @@ class _Tree(HTMLParser):
             self.open.pop()
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None)
         if node.parent:
-            node.parent.children += 1
+            node.parent.kids.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -89,7 +105,7 @@ def elements(html: str | None) -> Iterator[dict]:
         if i >= MOST_ELEMENTS:
             return
         text = _SPACE.sub(" ", "".join(node.parts)).strip()
-        if node.tag in ("div", "span") and not text and not node.children:
+        if node.tag in ("div", "span") and not text and not node.kids:
             continue
         p = node.parent
         yield {

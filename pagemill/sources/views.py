@@ -62,25 +62,46 @@ def engine_attempts(d: Dialect) -> str:
 
 
 def steps(d: Dialect) -> str:
-    """user_id, step (from 1 by time), action, target, success."""
+    """user_id, step (from 1 by time), action, target, success, reasoning."""
     action = "CASE event_type WHEN 'view' THEN 'navigate' WHEN 'click' THEN 'group' WHEN 'purchase' THEN 'dive' WHEN 'signup' THEN 'search' ELSE 'content-servers' END"
     return (
         f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, {action} AS action, concat('http://u', {string(d, 'user_id')}, '.example.com/', {d.extract('props', '([0-9]+)')}) AS target, "
-        "(event_type <> 'error') AS success FROM events"
+        f"(event_type <> 'error') AS success, {cases([(f'event_id % 6 = {i}', lit(x)) for i, x in enumerate(REASONS)], lit('next'))} AS reasoning FROM events"
     )
 
 
+#: What steps say of the pages that they meet.
+REASONS = ("listing with cards", "detail with episodes", "content: servers and player", "search results", "many-links")
+
+
+def found(d: Dialect) -> str:
+    """page_id, finding, score: a set of heuristic findings for each page, by the bits of its number."""
+    kinds = (("card-grid", 40), ("search-input", 90), ("episode-list", 85), ("server-container", 80), ("video-player", 90), ("pagination", 95), ("tabs", 88))
+    return " UNION ALL ".join(f"SELECT page_id, {lit(k)} AS finding, {s} AS score FROM pages WHERE {d.long(f'floor(page_id / {2**i})')} % 2 = 1" for i, (k, s) in enumerate(kinds)) + f" UNION ALL SELECT page_id, 'metadata' AS finding, 70 AS score FROM pages"
+
+
 def page_elements(d: Dialect) -> str:
-    """page_id, seq, tag, type, cls, e_text, e_class, e_attrs, n_urls, n_data: links, h1 and ad blocks by pattern."""
-    link = f"SELECT page_id, seq0 AS seq, 'a' AS tag, 'link' AS type, '' AS cls, {d.extract('m.x', '>([^<]*)')} AS txt, {d.extract('m.x', 'href=.([^>]*).>')} AS href FROM pages {d.numbered(d.all('html', '(<a href=[^>]*>[^<]*)</a>'), 'm', 'x')}"
-    head = f"SELECT page_id, 1000 AS seq, 'h1' AS tag, 'heading' AS type, '' AS cls, {d.extract('html', '<h1>([^<]*)</h1>')} AS txt, '' AS href FROM pages"
-    box = f"SELECT page_id, 1001 AS seq, 'div' AS tag, 'container' AS type, 'ad' AS cls, {d.extract('html', '<div class=.ad.>([^<]*)</div>')} AS txt, '' AS href FROM pages"
+    """page_id, seq, tag, type, class, cls (first class), id, parent, selector, txt, href, e_text, e_class, e_attrs, n_urls, n_data.
+
+    A dialect that names parsed elements has those; else links, h1 and ad blocks by pattern.
+    """
+    if d.elements:
+        return f"SELECT * FROM {d.elements}"
+    link = f"SELECT page_id, seq0 AS seq, 'a' AS tag, 'link' AS type, '' AS cls, 'li' AS parent, {d.extract('m.x', '>([^<]*)')} AS txt, {d.extract('m.x', 'href=.([^>]*).>')} AS href FROM pages {d.numbered(d.all('html', '(<a href=[^>]*>[^<]*)</a>'), 'm', 'x')}"
+    head = f"SELECT page_id, 1000 AS seq, 'h1' AS tag, 'heading' AS type, '' AS cls, 'article' AS parent, {d.extract('html', '<h1>([^<]*)</h1>')} AS txt, '' AS href FROM pages"
+    box = f"SELECT page_id, 1001 AS seq, 'div' AS tag, 'container' AS type, 'ad' AS cls, 'body' AS parent, {d.extract('html', '<div class=.ad.>([^<]*)</div>')} AS txt, '' AS href FROM pages"
     return (
-        f"SELECT page_id, seq, tag, type, cls, substr(trim(txt), 1, 60) AS txt, href, lower(substr(trim(txt), 1, 60)) AS e_text, lower(cls) AS e_class, lower(concat(href, ' ', cls, ' ', CASE WHEN href <> '' THEN 'href' ELSE 'class' END)) AS e_attrs, "
+        f"SELECT page_id, seq, tag, type, cls AS class, cls, '' AS id, parent, CASE WHEN cls <> '' THEN concat(tag, '.', cls) ELSE tag END AS selector, substr(trim(txt), 1, 60) AS txt, href, lower(substr(trim(txt), 1, 60)) AS e_text, lower(cls) AS e_class, lower(concat(href, ' ', cls, ' ', CASE WHEN href <> '' THEN 'href' ELSE 'class' END)) AS e_attrs, "
         f"CASE WHEN href <> '' AND NOT {d.like('href', '^(#|javascript:|about:blank$)')} THEN 1 ELSE 0 END AS n_urls, 0 AS n_data FROM ({link} UNION ALL {head} UNION ALL {box}) v_el"
     )
 
 
+def class_members(d: Dialect) -> str:
+    """page_id, seq, class, cls, e_text, type: a user's log as a page whose elements have the log's classes."""
+    cls = "CASE WHEN class = '' THEN 'plain' ELSE class END"
+    return f"SELECT e.user_id AS page_id, a.seq, {cls} AS class, {cls} AS cls, lower(concat(a.element_type, ' ', a.class)) AS e_text, CASE WHEN a.seq % 2 = 0 THEN 'link' ELSE 'clickable' END AS type FROM ({attempts(d)}) a JOIN events e ON e.event_id = a.seq"
+
+
 def titles(d: Dialect) -> str:
     return "SELECT DISTINCT p_name AS title FROM part"
 
