@@ -26,7 +26,7 @@ from pagemill.llm._common import ship
 #: A boundary falls at one white-space position in this many, on average.
 CHUNK_WORDS = 32
 #: Characters that each cache may hold.
-CACHE_CHARS = 48_000_000
+CACHE_CHARS = 20_000_000
 #: A private-use character that texts hardly hold; words that do are encoded alone.
 MARK = "\ue000"
 _MIX = np.uint64(0x9E3779B97F4A7C15)

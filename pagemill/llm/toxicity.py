@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import id_crc, ship, staged
@@ -35,14 +35,14 @@ from pagemill.llm.bpe import slices
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by a hash of the id.
 TRAIN_ROWS = 24_000
-#: Units kept, at most, the surest first.
-MOST_UNITS = 20_000
 #: Weight of the informative part of the Dirichlet prior, in documents' units; half a count is added to each unit besides.
 PRIOR = 500.0
 #: Units in a smaller share of the toxic rows, or in under three of them, don't count.
 LEAST_SHARE = 0.005
 #: Cost of a word without a toxic unit.
 DRIFT = 0.5
+#: A unit's log-odds count up to this: beyond, they say more of the sample than of the unit.
+MOST_ODDS = 6.0
 #: Segments with fewer chance equals expected than this are significant.
 EXPECTED = 0.05
 _WORDS = re.compile(r"[^\W_]+")
@@ -107,18 +107,18 @@ class Model:
         return self.scale * max(n, 1) * math.exp(-min(700.0, self.rate * score))
 
     def features(self, words: list[str], found: list[tuple[int, int, float]] | None = None) -> tuple[float, float, list[tuple[int, int, float, float]]]:
-        """Evidence (-log10 of the least tail probability), log of 1 + significant segments, and those segments."""
+        """Evidence (log of 1 less the decimal logarithm of the least tail probability), log of 1 + significant segments, and those segments."""
         found = self.segments(words) if found is None else found
         best = 0.0
         for r, s in enumerate(sorted((f[2] for f in found), reverse=True), 1):
             mean = self.expected(s, len(words))
-            if mean >= r or r > 200:
+            if mean >= r:
                 break
             # P(Poisson(mean) >= r) by its leading term and the geometric bound of the others.
             term = r * (math.log(self.scale * max(len(words), 1)) - self.rate * s) - mean - math.lgamma(r + 1) - math.log1p(-mean / (r + 1))
             best = max(best, -term / math.log(10))
         good = [(a, b, s, e) for a, b, s in found if (e := self.expected(s, len(words))) <= EXPECTED]
-        return min(40.0, best), math.log1p(len(good)), good
+        return math.log1p(best), math.log1p(len(good)), good
 
     def score(self, x: float, y: float) -> float:
         z = self.weights[0] + self.weights[1] * x + self.weights[2] * y
@@ -168,15 +168,15 @@ def _units(rows: DataFrame, n_bad: int) -> dict[str, float]:
     odds = F.log((F.col("bad") + prior) / (nb + PRIOR - F.col("bad") - prior)) - F.log((F.col("good") + prior) / (ng + PRIOR - F.col("good") - prior))
     error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     sure = counts.where(F.col("bad") >= max(3.0, LEAST_SHARE * n_bad)).select("unit", odds.alias("odds"), error.alias("error")).where("odds - 2.3 * error > 1.0 AND odds > 2.0")
-    top = sure.orderBy(F.desc(F.col("odds") / F.col("error")), "unit").limit(MOST_UNITS).collect()
-    return {r["unit"]: min(6.0, r["odds"]) for r in top}
+    return {r["unit"]: min(MOST_ODDS, r["odds"]) for r in sure.select("unit", "odds").collect()}  # the training rows bound their number
 
 
 def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text") -> Model:
     """Fit on all rows of ``train``, which should be bounded (see ``training_rows``).
 
     Without rows of both labels the model knows no units and scores every text
-    by the share of toxic rows.
+    by the share of toxic rows.  Rows that calibrate never teach the units that
+    they calibrate: with one row of a label, that label has none to teach.
     """
     ship(train.sparkSession)
     rows = train.select(F.col(text_col).cast("string").alias("text"), (F.col(label_col) == 1).cast("int").alias("y")).where("y IS NOT NULL")
@@ -184,12 +184,12 @@ def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text") -> M
     both = rows.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
     if not both["bad"] or not both["good"]:
         return Model(weights=(math.log((both["bad"] + 0.5) / (both["good"] + 0.5)), 0.0, 0.0))
-    aside = F.pmod(F.crc32(F.coalesce("text", F.lit(""))), F.lit(4)) == 0
-    model = Model(_units(rows.where(~aside), both["bad"] * 3 // 4))
-    rest = rows.where(aside)
-    if len({r["y"] for r in rest.select("y").distinct().collect()}) < 2:
-        rest = rows
-    found = _score(rest, model, keep="y").select("y", "n_words", F.col("segments")).toArrow()  # as many rows as train has
+    # Every fourth row of either label, the first of each at least, in an order by hash.
+    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.crc32(F.coalesce("text", F.lit(""))), "text"))
+    rows = staged(rows.select("text", "y", (F.pmod(turn, F.lit(4)) == 1).alias("aside")), "training")
+    model = Model(_units(rows.where("NOT aside"), both["bad"] * 3 // 4))
+    rest = rows.where("aside")
+    found = _score(rest.select("y", "text"), model, keep="y").select("y", "n_words", F.col("segments")).toArrow()  # as many rows as train has
     y = found["y"].to_numpy().astype(float)
     segments = [np.array(s or [], float) for s in found["segments"].to_pylist()]
     words = found["n_words"].to_numpy()

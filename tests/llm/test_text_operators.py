@@ -279,10 +279,26 @@ def test_raking_meets_marginals(spark):
     cells = spark.createDataFrame([("a", "en", "x", 100, 1), ("a", "fr", "y", 300, 1), ("b", "en", "y", 50, 1), ("b", "fr", "x", 550, 1)], "source string, lang string, topic string, tokens long, docs long")
     shares = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"x": 0.45, "y": 0.55}}
     targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, target double") for k, v in shares.items()}
-    fit = mixing.rake(cells, targets, 40).collect()
+    fit = mixing.rake(cells, targets, budget=0.1)
     for axis, want in shares.items():
         for value, share in want.items():
-            assert sum(r["fit"] for r in fit if r[axis] == value) == pytest.approx(share, abs=0.02)
+            assert sum(r["fit"] for r in fit.collect() if r[axis] == value) == pytest.approx(share, abs=1e-3)
+    assert mixing.shortfalls(fit, 1e-3).count() == 0
+    # 150 tokens of "en" can't be half of 600: they are kept whole, and the shortfall is told.
+    full = mixing.rake(cells, targets, budget=0.6, most_tests=2)
+    assert all(r["fit"] <= r["cap"] + 1e-12 for r in full.collect())
+    short = {r["value"]: (r["target"], r["fitted"]) for r in mixing.shortfalls(full, 1e-3).collect() if r["axis"] == "lang"}
+    assert short["en"] == (0.5, pytest.approx(0.25, abs=1e-6))
+
+
+def test_mixing_keeps_shares_and_budget(sample):
+    rows = mixing.mix(sample).collect()
+    whole, kept = sum(r["n_tokens"] for r in rows), sum(r["n_tokens"] * r["probability"] for r in rows)
+    assert kept == pytest.approx(mixing.BUDGET * whole, rel=1e-4) and max(r["probability"] for r in rows) <= 1
+    cells = mixing.cells_of(mixing.mix(sample))
+    for axis in mixing.AXES:
+        for t in mixing.tempered(cells, axis).collect():
+            assert sum(r["n_tokens"] * r["probability"] for r in rows if r[axis] == t[axis]) / kept == pytest.approx(t["target"], abs=1e-3)
 
 
 def test_mixing_odd_rows(docs):
