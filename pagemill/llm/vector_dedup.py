@@ -2,12 +2,13 @@
 
 Vectors are scaled to length one and turned to their principal components, so
 leading dimensions hold most of each product.  Rows are ordered by nested
-medians of the leading components, cut into blocks of bounded size, and every
-two blocks meet in one task, tile by tile.  A tile pair is skipped when the
-boxes of its leading components lie too far apart; else the products of the
-leading dimensions are accumulated, and the rest is bounded by the product of
-the suffix norms.  Only pairs whose bound reaches the threshold are computed
-in full, in double precision.
+medians of the leading components and cut into blocks of bounded size.  Two
+blocks meet in one task, unless the boxes of their leading components and
+suffix norms lie too far apart: then neither's rows are sent to the other.
+Blocks meet tile by tile.  A tile pair is skipped by its boxes likewise; else
+the products of the leading dimensions are accumulated, and the rest is bounded
+by the product of the suffix norms.  Only pairs whose bound reaches the
+threshold are computed in full, in double precision.
 
 Equal vectors are one point with a weight.  A task returns weighted link
 counts and, for connectivity, one edge for each linked point, never all pairs.
@@ -22,16 +23,18 @@ from pyspark.sql import functions as F
 
 from pagemill.llm._common import ship, staged
 from pagemill.llm.graph import connected_components, merge
-from pagemill.llm.vectors import dimension, matrix, usable
+from pagemill.llm.vectors import dimension, matrix, unit, usable
 
 #: Rows of a block; a task holds two.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 TILE_ROWS = 1024
 #: Leading dimensions that are accumulated before the bound is tested.
 LEAD = 16
 #: Rows from which the order's medians are read; only the order depends on them.
 SAMPLE_ROWS = 16_384
 MOST_CELLS = 4096
+#: Pairs of blocks that may be broadcast.
+MOST_PAIRS = 500_000
 
 
 def _principal(points: DataFrame, dims: int) -> np.ndarray:
@@ -42,7 +45,7 @@ def _principal(points: DataFrame, dims: int) -> np.ndarray:
         for batch in batches:
             x = matrix(batch.column(0))
             if len(x):
-                x = x / np.sqrt((x**2).sum(1))[:, None]
+                x = unit(x)
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims, dtype=np.int32)), pa.array(total.ravel())], ["i", "v"])
 
@@ -119,6 +122,38 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float, lead: int
                 yield i0 + i[hit], j0 + j[hit], score[hit]
 
 
+def _near_blocks(rows: DataFrame, turn: np.ndarray, blocks: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of blocks (lower, higher), each with itself, whose boxes are near enough to hold a link."""
+    lead = min(LEAD, len(turn))
+    # Distances between leading parts and between suffix norms together bound those between unit vectors.
+    names = [f"b{i}" for i in range(lead + 1)]
+
+    def bounds(batches):
+        lo, hi = np.full((blocks, lead + 1), np.inf), np.full((blocks, lead + 1), -np.inf)
+        for batch in batches:
+            x = unit(matrix(batch.column(0))) @ turn if batch.num_rows else np.empty((0, len(turn)))
+            x = np.concatenate([x[:, :lead], np.sqrt(np.maximum((x[:, lead:] ** 2).sum(1), 0))[:, None]], axis=1)
+            own = batch.column(1).to_numpy()
+            np.minimum.at(lo, own, x)
+            np.maximum.at(hi, own, x)
+        got = np.flatnonzero(lo[:, 0] < np.inf).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(got), *(pa.array(lo[got, i]) for i in range(lead + 1)), *(pa.array(hi[got, i]) for i in range(lead + 1))], ["own", *names, *(f"t{n}" for n in names)])
+
+    schema = "own int, " + ", ".join(f"{n} double" for n in [*names, *(f"t{n}" for n in names)])
+    got = rows.select("vec", "own").mapInArrow(bounds, schema).groupBy("own").agg(*(F.min(n).alias(n) for n in names), *(F.max(f"t{n}").alias(f"t{n}") for n in names)).toArrow()  # a row for each block
+    own = got["own"].to_numpy()
+    lo, hi = (np.stack([got[f"{p}{n}"].to_numpy() for n in names], axis=1) for p in ("", "t"))
+    far = 2 - 2 * threshold + 1e-6
+    a, b = [], []
+    for i in range(len(own)):
+        gap = np.maximum(0, np.maximum(lo - hi[i], lo[i] - hi))
+        near = np.flatnonzero((gap**2).sum(1) <= far)
+        near = near[own[near] >= own[i]]
+        a.append(np.full(len(near), own[i]))
+        b.append(own[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def near_duplicates(
     df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -144,14 +179,14 @@ def near_duplicates(
     share = SAMPLE_ROWS / max(count, SAMPLE_ROWS)
     picked = points.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < int(share * 1_000_003)).select("vec").limit(2 * SAMPLE_ROWS).toArrow()
     sample = matrix(picked["vec"])
-    sample = (sample / np.sqrt((sample**2).sum(1))[:, None]) @ turn[:, : min(8, dims)] if len(sample) else np.zeros((1, min(8, dims)))
+    sample = unit(sample) @ turn[:, : min(8, dims)] if len(sample) else np.zeros((1, min(8, dims)))
     cuts = _medians(sample, depth)
 
     def place(batches):
         for batch in batches:
             x = matrix(batch.column(2))
             if len(x):
-                cell = _cells((x / np.sqrt((x**2).sum(1))[:, None]) @ turn[:, : min(8, dims)], cuts, depth)
+                cell = _cells(unit(x) @ turn[:, : min(8, dims)], cuts, depth)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32))], ["rep", "n", "vec", "cell"])
 
     placed = points.select("rep", "n", "vec").mapInArrow(place, "rep long, n long, vec array<double>, cell int")
@@ -170,26 +205,30 @@ def near_duplicates(
         room += n
     blocks += bool(room)
     at = F.element_at(F.array(*map(F.lit, first)), F.col("cell") + 1) + F.pmod(F.xxhash64("rep"), F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1)).cast("int")
-    dealt = placed.select("rep", "n", "vec", "cell", at.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    blocked = staged(placed.select("rep", "n", "vec", "cell", at.alias("own")), "blocks")
+    near = _near_blocks(blocked, turn, blocks, threshold)
+    pairs = spark.createDataFrame(pa.table({"own": pa.array(np.concatenate([near[0], near[1]]).astype(np.int32)), "other": pa.array(np.concatenate([near[1], near[0]]).astype(np.int32))}).to_pandas()).distinct()
+    dealt = blocked.join(F.broadcast(pairs) if len(near[0]) <= MOST_PAIRS else pairs, "own")
     dealt = dealt.select("rep", "n", "vec", "cell", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(t: pa.Table) -> pa.Table:
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
         rep, weight, own, cell = (t[c].to_numpy() for c in ("rep", "n", "own", "cell"))
         raw = matrix(t["vec"])
-        unit = (raw / np.sqrt((raw**2).sum(1))[:, None]) @ turn
+        scaled = raw * 2.0 ** -np.floor(np.log2(np.abs(raw).max(1)))[:, None]  # by powers of two: exact, and squares stay in range
+        turned = unit(raw) @ turn
         sides = []
         for block in (lo, hi) if lo != hi else (lo,):
             rows_of = np.flatnonzero(own == block)
-            sides.append(rows_of[np.lexsort((unit[rows_of, 0], cell[rows_of]))])
+            sides.append(rows_of[np.lexsort((turned[rows_of, 0], cell[rows_of]))])
         left, right = sides[0], sides[-1]
         links = np.zeros(len(rep), np.int64)
         label = np.arange(len(rep))
-        for i, j, score in tile_links(unit[left], None if lo == hi else unit[right], threshold):
+        for i, j, score in tile_links(turned[left], None if lo == hi else turned[right], threshold):
             i, j = left[i], right[j]
             close = np.abs(score - threshold) < 1e-8
             if close.any():  # so near the threshold the original vectors decide
-                x, y = raw[i[close]], raw[j[close]]
+                x, y = scaled[i[close]], scaled[j[close]]
                 keep = np.ones(len(i), bool)
                 keep[close] = (x * y).sum(1) / (np.sqrt((x**2).sum(1)) * np.sqrt((y**2).sum(1))) >= threshold
                 i, j = i[keep], j[keep]

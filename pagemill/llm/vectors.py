@@ -27,6 +27,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, without squares that leave the range of doubles."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
 def dimension(df: DataFrame, vec: str) -> int:
     """The one length of all vectors; 0 without rows, an error where lengths differ."""
     got = df.agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi")).first()
