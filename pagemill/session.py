@@ -21,9 +21,19 @@ def session(master: str | None = None, app: str = "pagemill", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: long texts must not come by the ten thousand.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context; their Python finds it wherever it starts."""
+    """Send this package to the executors, once for each Spark context; their Python finds it wherever it starts.
+
+    Batches for Python workers are held to BATCH_BYTES, unless the session asks for smaller ones.
+    """
     sc = spark.sparkContext
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if size is None or not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_pagemill_shipped", False):
         return
     root = Path(__file__).resolve().parent
