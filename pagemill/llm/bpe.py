@@ -2,10 +2,15 @@
 
 Texts are cut at white space where a rolling hash over the last eight bytes
 hits a mask, so equal passages in different documents yield equal chunks.
-Within a task every distinct chunk is encoded once and its ids, their decimal
-text and its decoded text are reused.  Each join between two chunks is then
-checked by encoding the words around it together; on disagreement the window
-grows word by word until both sides agree, up to the whole document.
+Within a worker process every distinct chunk is encoded once and its ids, their
+decimal text and its decoded text are reused.  Each join between two chunks is
+then checked by encoding the words around it together; on disagreement the
+window grows until both sides agree, up to the whole document.
+
+A tokenizer that parts words at white space and drops it (tried when the codec
+is made) encodes a new chunk from its distinct words, and windows grow word by
+word.  Any other encodes whole chunks, white space included, and chunks on the
+two sides of a join that disagrees become one.
 
 Memory is bounded: the caches hold at most a set number of characters and are
 emptied when full, so a task never keeps more than that beside one batch.
@@ -14,6 +19,7 @@ emptied when full, so a task never keeps more than that beside one batch.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +32,7 @@ from pagemill.llm._common import ship
 #: A boundary falls at one white-space position in this many, on average.
 CHUNK_WORDS = 32
 #: Characters that each cache may hold.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 8_000_000
 #: A private-use character that texts hardly hold; words that do are encoded alone.
 MARK = "\ue000"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,11 +62,26 @@ def chunk(text: str) -> list[str]:
     return out
 
 
+def pieces(text: str) -> list[str]:
+    """Content-defined chunks whose concatenation is ``text``: each but the first begins with its separator."""
+    out, at = [], 0
+    for c in chunk(text):
+        at = text.index(c, at) + len(c) if c else at
+        out.append(at)
+    starts = [0, *out[:-1]]
+    return [text[a:b] for a, b in zip(starts, [*out[:-1], len(text)], strict=True)] if out else ([text] if text else [])
+
+
+#: Texts that tell whether a tokenizer's words are independent of each other and of white space.
+PROBES = ("a b", "Hello  world\nagain", "it's 12 3! x", " lead and trail ")
+
+
 class ChunkCodec:
     """Encodes and decodes whole texts exactly as the tokenizer does, one distinct chunk at a time.
 
-    A chunk that is new is put together from its distinct words, each encoded
-    once; new words go to the tokenizer in groups, with a mark between them.
+    Where words are independent, a chunk that is new is put together from its
+    distinct words, each encoded once; new words go to the tokenizer in groups,
+    with a mark between them.
     """
 
     def __init__(self, tokenizer_json: str, cache_chars: int = CACHE_CHARS) -> None:
@@ -76,6 +97,8 @@ class ChunkCodec:
         self.digits = list(map(str, range(size)))
         self.mark = self._encode([MARK])[0]
         self.safe = bool(self.mark) and self._encode([f"a {MARK} b"])[0] == self._encode(["a"])[0] + self.mark + self._encode(["b"])[0]
+        self.parted = all(ids == [i for w in self._encode(p.split()) for i in w] for p, ids in zip(PROBES, self._encode(list(PROBES)), strict=True))
+        self.whole: dict[str, list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
         self.chunks: dict[str, tuple[int, str, str, str, str]] = {}
         self.joins: set[tuple[str, str]] = set()
@@ -167,6 +190,9 @@ class ChunkCodec:
 
     def digest(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(tokens, ids in decimal joined by spaces, decoded text) of each text."""
+        if not self.parted:
+            found = self.encoded([t or "" for t in texts])
+            return [(len(ids), " ".join(map(str, ids)), self.decoded(ids)) for ids in found]
         cut = [chunk(t or "") for t in texts]
         self._learn([c for cs in cut for c in cs])
         got = [[x for x in map(self.chunks.__getitem__, cs) if x[0]] for cs in cut]
@@ -182,6 +208,43 @@ class ChunkCodec:
                 out.append((len(ids), " ".join(map(str, ids)), self.decoded(ids)))
         return out
 
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts from whole chunks; chunks that disagree at a join are encoded again as one."""
+        cut = [pieces(t) for t in texts]
+        self._learn_whole([c for cs in cut for c in cs])
+        sides = [[(a[self._edge(a, last=True) :], b[: self._edge(b, last=False)]) for a, b in zip(cs, cs[1:], strict=False)] for cs in cut]
+        self._learn_whole([x for ss in sides for a, b in ss for x in (a, b, a + b)])
+        out = []
+        for cs, ss in zip(cut, sides, strict=True):
+            self.stats["seen"] += len(cs)
+            joined = cs[:1]
+            for c, (a, b) in zip(cs[1:], ss, strict=True):
+                if self.whole[a + b] == self.whole[a] + self.whole[b]:
+                    joined.append(c)
+                else:
+                    self.stats["repaired"] += 1
+                    joined[-1] += c
+            self._learn_whole(joined)
+            out.append([i for c in joined for i in self.whole[c]])
+        if self.held[1] > self.cache_chars:
+            self.whole.clear()
+            self.held[1] = 0
+        return out
+
+    @staticmethod
+    def _edge(text: str, last: bool) -> int:
+        """Where the last two words of a text begin, with the white space before them, or where the first two end."""
+        words = list(re.finditer(r"\s*\S+", text))
+        if len(words) < 3:
+            return 0 if last else len(text)
+        return words[-2].start() if last else words[1].end()
+
+    def _learn_whole(self, texts: list[str]) -> None:
+        fresh = [t for t in dict.fromkeys(texts) if t not in self.whole]
+        self.held[1] += sum(map(len, fresh))
+        self.stats["chunks"] += len(fresh)
+        self.whole.update(zip(fresh, self._encode(fresh), strict=True))
+
     def repaired(self, chunks: list[list[str]], good: set[tuple[str, str]]) -> list[int]:
         """Ids of a text in chunks of words: around a join that disagrees, a window is encoded again, and widened on both sides until what it gives at its edges agrees with what stands there."""
         words = [w for ws in chunks for w in ws]
@@ -262,7 +325,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, and one row at least."""
     import pyarrow.compute as pc
 

@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation.
 
-Every document starts on a shard dealt by a hash of its id.  In each round a
-document that has links looks at the shards of its neighbours and, where
-another shard holds more of them than its own, asks to move there; moves are
-granted by gain while the shard's quota lasts.  Documents without links are
-indifferent and fill what is left, so shard sizes end at most one row apart.
+Every document starts on a shard dealt by a hash of its id.  In each round half
+of the documents that have links, chosen by a hash, look at the shards of their
+neighbours and, where another shard holds more of them than their own, ask to
+move there.  Between two shards as many moves one way are granted as the other
+way, and more while the shard's quota lasts, those of most gain first.
+Documents without links are indifferent and fill what is left, so shard sizes
+end at most one row apart.
 
 All steps are joins and aggregates over ids.  Quotas and row numbers are dealt
 out per hash bucket of bounded size, so no shard is ever gathered in one task;
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from pagemill.llm._common import partitions_for, staged
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 10
 #: Rows of a bucket in which moves are ranked and slots numbered.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def _pick(values: list[int], index: Column) -> Column:
@@ -53,21 +55,36 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: list[in
     buckets = partitions_for(nodes.sparkSession, count, BUCKET_ROWS)
     for turn in range(rounds):
         sizes = {r["label"]: r["count"] for r in cur.groupBy("label").count().collect()}  # a row for each shard
-        room = [max(0, capacity[s] - sizes.get(s, 0)) // buckets for s in range(shards)]
         votes = both.join(cur.select(F.col("node").alias("src"), F.col("label").alias("to")), "src").groupBy("dst", "to").agg(F.count("*").alias("votes"))
         best = votes.groupBy("dst").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
         wish = cur.join(best, F.col("node") == F.col("dst")).select(
             "node", "label", (-F.col("best.low")).alias("to"), (F.col("best.votes") - F.coalesce(F.try_element_at("all", F.col("label")), F.lit(0))).alias("gain")
         )
-        # Moves go downwards and upwards by turns, else two linked nodes swap places for ever.
-        wish = wish.where(F.col("gain") > 0).where(F.col("to") < F.col("label") if turn % 2 == 0 else F.col("to") > F.col("label"))
-        wish = wish.withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(buckets)).cast("int"))
-        place = F.row_number().over(Window.partitionBy("to", "bucket").orderBy(F.desc("gain"), "node"))
-        moves = wish.withColumn("place", place).where(F.col("place") <= _pick(room, F.col("to"))).select("node", "to")
+        # Half of the nodes ask in a round, else two linked nodes swap places for ever.
+        wish = wish.where(F.col("gain") > 0).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+        wish = staged(wish.withColumn("way", F.col("label") * shards + F.col("to")).withColumn("bucket", F.struct((-F.col("gain")).alias("loss"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(buckets)).alias("part"))), "wishes")
+        asked = {r["way"]: r["count"] for r in wish.groupBy("way").count().collect()}  # a row for each two shards
+        if not asked:
+            break
+        grants = _grants(asked, [capacity[s] - sizes.get(s, 0) for s in range(shards)])
+        moves = _numbered(wish, "way", "bucket", ["node"]).where(F.col("rank") < _pick(grants, F.col("way"))).select("node", "to")
         cur = staged(cur.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
     return cur
 
 
+def _grants(asked: dict[int, int], room: list[int]) -> list[int]:
+    """Moves granted from each shard to each other: as many as come back, and what the room left in a shard admits."""
+    shards = len(room)
+    out = [min(asked.get(s * shards + t, 0), asked.get(t * shards + s, 0)) for s in range(shards) for t in range(shards)]
+    left = [max(0, r) for r in room]
+    for way in sorted(asked, key=lambda w: (out[w] - asked[w], w)):
+        more = min(asked[way] - out[way], left[way % shards])
+        out[way] += more
+        left[way % shards] -= more
+        left[way // shards] += more if room[way // shards] >= 0 else 0
+    return out
+
+
 def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law (``rows``), shard, slot, grown_shard (null).
 
@@ -90,13 +107,12 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int
     if links is None:
         groups = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("text_key", "a")
         links = rows.join(groups, "text_key").select("a", F.col("doc_id").alias("b"))
-    start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     nodes = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node")).distinct().select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label"))
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     labels = propagate(nodes, links, shards, capacity, rounds)
     buckets = partitions_for(docs.sparkSession, total, BUCKET_ROWS)
     placed = rows.join(labels, rows["doc_id"] == labels["node"], "left").select(
-        "doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).cast("int").alias("label"), F.pmod(F.xxhash64("doc_id", start), F.lit(buckets)).cast("int").alias("bucket")
+        "doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).cast("int").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(buckets)).cast("int").alias("bucket")
     )
     placed = staged(_numbered(placed, "label", "bucket", ["doc_id", "size", "text_crc32"]), "placed")
     held = {r["label"]: r["count"] for r in placed.groupBy("label").count().collect()}  # a row for each shard, and the rest
@@ -117,6 +133,6 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int
 
 
 def cut_links(assigned: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: links in all, and those whose ends are on different shards."""
+    """One row: links (a, b) in all, and those whose ends are on different shards of ``assigned`` (doc_id, shard)."""
     ends = links.join(assigned.select(F.col("doc_id").alias("a"), F.col("shard").alias("sa")), "a").join(assigned.select(F.col("doc_id").alias("b"), F.col("shard").alias("sb")), "b")
     return ends.agg(F.count("*").alias("links"), F.count_if(F.col("sa") != F.col("sb")).alias("cut"))

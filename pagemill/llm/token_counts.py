@@ -1,11 +1,11 @@
 """Token counts under a unigram piece model, by trie-shared dynamic programming.
 
 The best-scoring segmentation of a word's prefix does not depend on what
-follows it.  Distinct words of a batch are therefore taken in sorted order,
-which walks their trie depth first: forward scores along the path shared with
-the previous word are kept, only the new letters are computed, and each
-terminal stores its token count and score.  A word ends up scored once per
-task, however often it occurs.
+follows it.  Distinct words are therefore put into a trie whose nodes hold the
+forward score and token count of the prefix that they stand for: a prefix that
+another word has brought in is not scored again, and each terminal's count is
+stored with its word.  A worker process keeps its trie from one batch and task
+to the next; a set number of nodes bounds it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pagemill.llm.bpe import slices
 #: SentencePiece's mark of a word's start.
 WORD_START = "▁"
 #: Characters of distinct words whose counts a worker keeps.
-CACHE_CHARS = 12_000_000
+CACHE_CHARS = 6_000_000
+#: Nodes of a worker's trie; beyond, it starts anew.
+MOST_NODES = 300_000
 
 
 def zipf_pieces(pieces: list[str]) -> list[tuple[str, float]]:
@@ -57,6 +59,36 @@ class TrieCounter:
             self.ends[p[-1]] = max(self.ends.get(p[-1], 0), len(p))
         self.known: dict[str, tuple[int, int]] = {}
         self.held = 0
+        self.scored = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Children by (node, letter); score and count of each node. Node 0 is the empty prefix.
+        self.child: dict[int, int] = {}
+        self.best: list[int] = [0]
+        self.tokens: list[int] = [0]
+
+    def _grow(self, w: str, path: list[int]) -> int:
+        """The node of ``w``'s prefix that is one letter longer than ``path`` tells."""
+        end = len(path)
+        ch = w[end - 1]
+        best, tokens, scores = self.best, self.tokens, self.scores
+        if ch in scores:
+            top, count = best[path[-1]] + scores[ch], tokens[path[-1]] + 1
+        else:
+            k = len(ch.encode("utf-8", "surrogatepass"))
+            top, count = best[path[-1]] + k * self.byte, tokens[path[-1]] + k
+        wide = self.ends.get(ch, 0)
+        for start in range(end - wide if wide < end else 0, end - 1):
+            s = scores.get(w[start:end])
+            if s is not None:
+                s += best[path[start]]
+                if s > top or (s == top and tokens[path[start]] + 1 < count):
+                    top, count = s, tokens[path[start]] + 1
+        best.append(top)
+        tokens.append(count)
+        self.scored += 1
+        return len(best) - 1
 
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
@@ -66,37 +98,19 @@ class TrieCounter:
             self.held = 0
             fresh = list(words)
         self.held += size
-        fresh.sort()
-        scores, ends, byte = self.scores, self.ends, self.byte
-        best: list[int] = [0]
-        count: list[int] = [0]
-        path = ""
         for word in fresh:
+            if len(self.best) > MOST_NODES:
+                self._clear()
+            child = self.child
             w = WORD_START + word
-            n = len(w)
-            share = 0
-            top = min(len(path), n)
-            while share < top and path[share] == w[share]:
-                share += 1
-            del best[share + 1 :], count[share + 1 :]
-            for end in range(share + 1, n + 1):
-                ch = w[end - 1]
-                wide = ends.get(ch, 0)
-                if ch in scores:
-                    top_score, top_count = best[end - 1] + scores[ch], count[end - 1] + 1
-                else:
-                    k = len(ch.encode("utf-8", "surrogatepass"))
-                    top_score, top_count = best[end - 1] + k * byte, count[end - 1] + k
-                for start in range(end - wide if wide < end else 0, end - 1):
-                    s = scores.get(w[start:end])
-                    if s is not None:
-                        s += best[start]
-                        if s > top_score or (s == top_score and count[start] + 1 < top_count):
-                            top_score, top_count = s, count[start] + 1
-                best.append(top_score)
-                count.append(top_count)
-            path = w
-            self.known[word] = (count[n], best[n])
+            node, path = 0, [0]
+            for ch in w:
+                key = node << 21 | ord(ch)
+                node = child.get(key, 0)
+                if not node:
+                    node = child[key] = self._grow(w, path)
+                path.append(node)
+            self.known[word] = (self.tokens[node], self.best[node])
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
         """(words, tokens, log10 score) of each text; words are parted by ASCII white space."""

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm._common import id_crc, ship, staged
@@ -148,7 +148,7 @@ def _units(rows: DataFrame, n_bad: int) -> dict[str, float]:
             for part in slices(batch, 0):
                 for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     seen[y].update({u for w in set(words_of(t)) for u in units_of(w)})
-                if len(seen[0]) + len(seen[1]) > 500_000:
+                if len(seen[0]) + len(seen[1]) > 150_000:
                     yield emit(*seen)
         yield emit(*seen)
 
@@ -184,9 +184,12 @@ def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text") -> M
     both = rows.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
     if not both["bad"] or not both["good"]:
         return Model(weights=(math.log((both["bad"] + 0.5) / (both["good"] + 0.5)), 0.0, 0.0))
-    # Every fourth row of either label, the first of each at least, in an order by hash.
-    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.crc32(F.coalesce("text", F.lit(""))), "text"))
-    rows = staged(rows.select("text", "y", (F.pmod(turn, F.lit(4)) == 1).alias("aside")), "training")
+    # A quarter by hash, and where it has none of a label, that label's first row by hash.
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    aside = F.pmod(crc, F.lit(4)) == 0
+    for r in rows.groupBy("y").agg(F.count_if(aside).alias("n"), F.min(crc).alias("least")).where("n = 0").collect():
+        aside |= (F.col("y") == r["y"]) & (crc == r["least"])
+    rows = rows.withColumn("aside", aside)
     model = Model(_units(rows.where("NOT aside"), both["bad"] * 3 // 4))
     rest = rows.where("aside")
     found = _score(rest.select("y", "text"), model, keep="y").select("y", "n_words", F.col("segments")).toArrow()  # as many rows as train has

@@ -58,13 +58,13 @@ def _principal(points: DataFrame, dims: int) -> np.ndarray:
 
 
 def _medians(sample: np.ndarray, depth: int) -> list[tuple[int, float]]:
-    """A balanced tree of cuts in heap order: (component, value)."""
+    """A balanced tree of cuts in heap order, each of the component that spreads most there: (component, value)."""
     cuts: list[tuple[int, float]] = []
     level = [sample]
     for d in range(depth):
         nxt = []
         for rows in level:
-            axis = d % sample.shape[1]
+            axis = int(rows.var(0).argmax()) if len(rows) > 1 else d % sample.shape[1]
             at = float(np.median(rows[:, axis])) if len(rows) else 0.0
             cuts.append((axis, at))
             nxt += [rows[rows[:, axis] < at], rows[rows[:, axis] >= at]]
