@@ -260,8 +260,11 @@ def measured_factor(shards: _Shards, k: int, recall: float, block_rows: int, fac
     """The least factor whose recall on a sample of queries reaches ``recall``, and each one's recall: by score, as ties may fall either way."""
     asks = shards.dealt.where("asks").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES)
     asks = staged(asks.select("id", "vec", "shard").dropDuplicates(["id"]), "sample")
+    wanted = [(r["id"], r["vec"]) for r in asks.select("id", "vec").collect()]  # SAMPLE_QUERIES rows
+    if not wanted:
+        return factors[0], {}
     truth = {}
-    for r in _exact(shards.dealt, [(r["id"], r["vec"]) for r in asks.select("id", "vec").collect()], k).collect():
+    for r in _exact(shards.dealt, wanted, k).collect():
         truth.setdefault(r["query_id"], []).append(r["score"])
     each = asks.withColumn("f", F.explode(F.array(*(F.struct(F.lit(i).alias("tag"), F.lit(f).alias("factor")) for i, f in enumerate(factors)))))
     found: dict[tuple[int, int], list[float]] = {}

@@ -75,6 +75,45 @@ def test_simhash_odd_rows(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_simhash_against_brute_force(docs):
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = rng.choice(words, 120).tolist()
+        for c in range(6):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                own[int(rng.integers(120))] = str(rng.choice(words))
+            rows.append((100 * g + c, " ".join(own)))
+    rows += [(None, rows[0][1]), (7000, ""), (7001, None), (None, " "), (300, rows[0][1]), (300, "quite another text")]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    n = len(rows)
+    label = components(list(range(n)), [(i, j) for i in range(n) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[label[i]] = min(least.get(label[i], d), d)
+    want = sorted(((-1 if d is None else d), f"{fps[i]:016x}", least.get(label[i])) for i, (d, _) in enumerate(rows))
+    got = simhash.near_duplicates(docs(rows)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
+    kept = [(r["component_id"], r["doc_id"]) for r in got if r["kept"]]
+    assert len(kept) == len(set(label.values())) and all(c == d for c, d in kept)
+
+
+@pytest.mark.parametrize("run", [lambda d, s: toxicity.score_documents(d, s.createDataFrame([], "doc_id long, toxic int")), lambda d, s: lm.score_documents(d, ~lm.held_out(), lm.F.lit(False)), lambda d, s: bpe.encode_documents(d, open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read()), lambda d, s: token_counts.count_tokens(d, [("▁a", -1.0)]), lambda d, s: line_dedup.summary(d), lambda d, s: mixing.mix(d)])
+def test_empty_tables(spark, docs, run):
+    assert run(docs([]), spark).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ("kept", "rid", "word", "_gone", "own_id", "row", "gone", "text_key", "sig", "tok", "line", "ver")
+    d = spark.createDataFrame([(i, t, "en", "s", *([7] * len(names))) for i, t in [(1, "a b c d e f\nx"), (2, "a b c d e f"), (3, "other words here")]], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(d).collect()}
+    assert got[2]["text"] == "" and got[1]["removed_lines"] == [] and all(r[n] == 7 for r in got.values() for n in names)
+    assert simhash.near_duplicates(d).count() == mixing.mix(d).count() == lm.score_documents(d, lm.F.lit(True), lm.F.lit(False)).count() == 3
+
+
 # -- line dedup
 
 
@@ -129,6 +168,27 @@ def test_short_lines_against_brute_force(docs):
     assert got == want and want[21] == [0, 1, 3]
 
 
+def test_hot_tokens_and_repeated_rows(docs):
+    """A template on every line, near copies in great number, and rows that repeat id and text."""
+    rng = np.random.default_rng(21)
+    base = " ".join(f"b{i}" for i in range(30))
+    rows = [(i, f"share this page with code c{i}\n" + base.replace(f"b{i % 30}", f"x{i}") + "\n" + " ".join(rng.choice([f"z{k}" for k in range(40)], 12))) for i in range(150)]
+    rows += [(3, rows[3][1]), (3, "share this page with code c3"), (None, base)]
+    lines = [((-1 if d is None else d), str(t), n, frozenset(x.split())) for d, t in dict.fromkeys(rows) for n, x in enumerate(t.split("\n"))]
+    got = {}
+    for r in line_dedup.summary(docs(rows)).collect():
+        got.setdefault(-1 if r["doc_id"] is None else r["doc_id"], []).append(tuple(r["removed_lines"]))
+    want = {}
+    for d, t in rows:
+        d = -1 if d is None else d
+        if d == 3:
+            continue  # two texts of one id: their order is by a hash
+        gone = tuple(n for n, x in enumerate(t.split("\n")) if any((e, k) < (d, n) and len(s & frozenset(x.split())) >= 0.8 * len(s | frozenset(x.split())) - 1e-9 for e, _, k, s in lines))
+        want.setdefault(d, []).append(gone)
+    assert {d: g for d, g in got.items() if d != 3} == want and len(got[3]) == 3
+    assert sum(1 in g[0] for d, g in got.items() if d >= 0) > 130
+
+
 def test_lines_odd_rows(docs):
     rows = [*ODD, (7, "one two three four five\nx\nFIVE four three two one"), (8, "one two three four five six")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
@@ -158,6 +218,22 @@ def test_bpe_repairs_joins():
     assert own.repaired([words[:3], words[3:5], words[5:]], set()) == own._encode([" ".join(words)])[0]
 
 
+def test_other_tokenizers_are_exact_and_repaired():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    own = bpe.ChunkCodec(open(path, encoding="utf-8").read())
+    assert not own.parted and bpe.ChunkCodec(open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read()).parted
+    rng = np.random.default_rng(12)
+    texts = [str(rng.choice(["\n\n\n\n", "  ", "\n\n\n"])).join(f"w{i}" for i in rng.integers(0, 500, 300)) for _ in range(60)] + ["", None, " ", LONG[:3000], "<|endoftext|> x " * 30, "é ñ  ü " * 60]
+    for t, (n, ids, text) in zip(texts, own.digest(texts), strict=True):
+        assert "".join(bpe.pieces(t or "")) == (t or "")
+        want = tok.encode(t or "", add_special_tokens=False).ids
+        assert n == len(want) and ids == " ".join(map(str, want)) and text == tok.decode(want, skip_special_tokens=False)
+    assert own.stats["repaired"] > 20
+
+
 def test_chunks_are_content_defined():
     rng = np.random.default_rng(1)
     words = [f"t{i}" for i in rng.integers(0, 9999, 4000)]
@@ -194,6 +270,12 @@ def test_token_counts_against_brute_force(docs):
     words = ["".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(300)]
     own = token_counts.TrieCounter(pieces)
     (n, tokens, total), *_ = own.count([" ".join(words)])
+    nodes = len({("▁" + w)[:k] for w in words for k in range(1, len(w) + 2)})
+    assert own.scored == nodes  # each shared prefix once
+    own.count([" ".join(words[::-1])])
+    own.known.clear()
+    own.count([" ".join(words[:50])])
+    assert own.scored == nodes  # and in later batches not again
     assert n == 300 and tokens == sum(best("▁" + w)[1] for w in words) and total == pytest.approx(sum(best("▁" + w)[0] for w in words) / 1e9)
     got = {r["doc_id"]: r for r in token_counts.count_tokens(docs(ODD), pieces).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == got[3]["n_tokens"] == 0 and got[4]["n_words"] == 30_000
@@ -258,6 +340,48 @@ def test_lm_base_and_counts(docs):
     assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
 
 
+def test_lm_against_brute_force(docs):
+    """Deleted interpolation over plain dictionaries, where every word is a class of its own."""
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 25) % 60)) for i in range(300)]
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in rows}
+    texts = {i: [*t.split(), ""] for i, t in rows}
+    train = [i for i in texts if fold[i] != 0]
+    pairs = lambda ids: collections.Counter(p for i in ids for p in zip(["", *texts[i]], texts[i], strict=False))
+    every, held = pairs(train), pairs([i for i in train if fold[i] == 1])
+    kept = every - held
+
+    def tables(c):
+        before, own = collections.Counter(), collections.Counter()
+        for (a, b), n in c.items():
+            before[a] += n
+            own[b] += n
+        return before, own, sum(c.values())
+
+    (b_all, c_all, n_all), (b_kept, c_kept, n_kept) = tables(every), tables(kept)
+    bucket = lambda a: min(lm.BUCKETS - 1, int(math.log2(max(b_all[a], 1))) // 2)
+    v = len(c_all)
+
+    def parts(a, b, c, before, own, n):
+        return [c[a, b] / max(before[a], 1) if own[b] else 0.0, own[b] / n, 1 / (v + 1), float(not own[b])]
+
+    events = [(n, bucket(a), parts(a, b, kept, b_kept, c_kept, n_kept)) for (a, b), n in held.items()]
+    mix = lm.em(np.array([e[0] for e in events], float), np.array([e[1] for e in events]), np.array([e[2] for e in events]))
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(rows), ~lm.held_out(), lm.F.pmod(lm.id_crc("doc_id"), lm.F.lit(10)) == 1).collect()}
+    for i, ws in texts.items():
+        want = sum(math.log10(mix[bucket(a)] @ parts(a, b, every, b_all, c_all, n_all)) for a, b in zip(["", *ws], ws, strict=False))
+        assert got[i] == pytest.approx(want, rel=1e-6)
+    for a in ("", "w1", "w2", "w40"):  # known words and the unknown type share all of the probability
+        assert sum(mix[bucket(a)] @ parts(a, b, every, b_all, c_all, n_all) for b in [*c_all, None]) == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_odd_rows(docs):
+    rows = [*ODD, (5, "another text of id five")]
+    got = lm.score_documents(docs(rows), lm.F.lit(True), lm.F.lit(False)).collect()
+    assert len(got) == len(rows) and sorted(r["n_tokens"] for r in got if r["doc_id"] == 5) == [4, 4, 6]
+    assert next(r["n_tokens"] for r in got if r["doc_id"] == 4) == 30_001 and all(math.isfinite(r["score"]) and r["n_known"] == r["n_tokens"] for r in got)
+
+
 def test_lm_without_training(docs):
     got = lm.score_documents(docs([(1, "a b"), (2, None)]), lm.F.lit(False), lm.F.lit(False)).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"], round(r["score"], 9)) for r in got} == {(0, 0, 0.0, 0.0)}

@@ -42,6 +42,7 @@ def test_nearest(spark, vectors):
                 assert [m[1] for m in mine] == order
         assert hits / 600 >= least
     assert ann.nearest(table(spark, vectors[:3]), F.col("vec_id") == 0, 20).count() == 2
+    assert ann.nearest(table(spark, vectors[:3]), F.col("vec_id") == 77, 20).count() == 0
     assert ann.nearest(table(spark, vectors[:0], BAD), F.col("vec_id") == 0).count() == 0
 
 
@@ -64,7 +65,7 @@ def test_nearest_recall_with_unequal_lengths(kind):
     qids = np.arange(0, n, 40)
     for factor, least in ((1.0, 1.0), (ann.FACTOR, 0.98)):
         got = {}
-        for q, v, s in ann._shard_search(np.arange(n), x, qids, 5 * x[qids], k, factor):
+        for q, v, s, _ in ann._shard_search(np.arange(n), x, qids, 5 * x[qids], k, factor):
             got.setdefault(q, set()).add(v)
             assert s == pytest.approx(5 * (x[v] @ x[q]), rel=1e-9, abs=1e-12)
         hits = 0
@@ -76,6 +77,70 @@ def test_nearest_recall_with_unequal_lengths(kind):
         assert hits / (k * len(qids)) >= least
 
 
+def test_ties_between_distinct_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (3000, 12)).astype(float)
+    x[x.sum(1) == 0, 0] = 1
+    x = np.concatenate([x, x[:, ::-1] * 2])  # distinct vectors with equal products, in trees of several levels
+    got = {}
+    for q, v, s, _ in ann._shard_search(np.arange(len(x)), x, np.arange(0, len(x), 150), x[::150], 20, 1.0):
+        got.setdefault(q, []).append((v, s))
+    for q in range(0, len(x), 150):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:20]
+        assert got[q] == [(i, score[i]) for i in order]
+    real = rng.normal(size=(2000, 6)) * np.repeat(rng.permutation(200), 10)[:, None]
+    df = table(spark, np.concatenate([x[:400], real[:, :1] @ np.ones((1, 12))]))
+    whole = ann.nearest(df, F.col("vec_id") % 20 == 0, 20, 1.0, shard_rows=300, block_rows=7).collect()
+    y = np.concatenate([x[:400], real[:, :1] @ np.ones((1, 12))]).astype(np.float32).astype(float)
+    usable = np.abs(y).max(1) > 0
+    for q in range(0, 2400, 400):
+        score = np.where(usable, (y * y[q]).sum(1), -np.inf)
+        order = [i for i in np.lexsort((np.arange(len(y)), -score)).tolist() if i != q][:20]
+        assert [r["vec_id"] for r in sorted(whole, key=lambda r: r["rank"]) if r["query_id"] == q] == order
+
+
+def test_recall_is_measured_and_factor_raised(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    df = table(spark, x).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") % 20 == 0).alias("asks"))
+    shards = ann._Shards(df, 3000, 700)
+    factor, got = ann.measured_factor(shards, 20, 0.995, 1000)
+    assert got[1.0] == 1.0 and got[factor] >= 0.995 and all(got[f] < 0.995 for f in ann.FACTORS if f < factor) and got[0.2] < 0.995
+
+
+def test_repeated_and_null_ids(spark, vectors):
+    rows = [(1, vectors[0].tolist()), (1, vectors[1].tolist()), (2, vectors[0].tolist()), (None, vectors[0].tolist()), (20, vectors[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])][:2] == [(20, 1, 1), (20, 2, 2)] and len(got) == 3
+    links = vector_dedup.near_duplicates(df).collect()
+    assert sorted((r["vec_id"] or -1, r["n_links"]) for r in links) == [(-1, 0), (1, 0), (1, 2), (2, 2), (20, 2)]
+
+
+def test_links_of_huge_vectors_and_far_blocks(spark):
+    x = np.eye(8)[np.arange(64) % 8] * 1e200 + 1e198
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_dedup.near_duplicates(df, block_rows=2).collect()
+    assert all(r["n_links"] == 7 and r["component_id"] == r["vec_id"] % 8 for r in got)
+
+
+def test_far_blocks_do_not_meet():
+    rng = np.random.default_rng(9)
+    shape = rng.normal(size=(3, 32))
+    share = {}
+    for n in (4000, 16_000):
+        x = rng.normal(size=(n, 3)) @ shape
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        depth = (n // 125).bit_length() - 1
+        cell = vector_dedup._cells(y[:, :8], vector_dedup._medians(y[:, :8], depth), depth)
+        boxes = [(y[cell == c][:, :16].min(0), y[cell == c][:, :16].max(0)) for c in np.unique(cell)]
+        near = sum((np.maximum(0, np.maximum(b[0] - a[1], a[0] - b[1])) ** 2).sum() <= 0.2 for a in boxes for b in boxes)
+        share[n] = near / len(boxes) ** 2
+    assert share[16_000] < 0.75 * share[4000] < 0.75
+
+
 def test_vector_links(spark, vectors):
     x = vectors.astype(float)
     u = x / np.linalg.norm(x, axis=1)[:, None]
@@ -187,6 +252,37 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(docs([])).count() == 0
 
 
+def test_linked_documents_move_by_swaps(spark, docs):
+    """All documents are linked, so no shard has room: only swaps bring linked ones together."""
+    rng = np.random.default_rng(2)
+    rows = [(i, f"text {i}") for i in range(800)]
+    order = rng.permutation(800).tolist()
+    pairs = [(order[4 * i + a], order[4 * i + b]) for i in range(200) for a in range(4) for b in range(a + 1, 4)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    cut = []
+    for rounds in (0, 10):
+        got = sharding.shard_documents(docs(rows), links, rounds=rounds)
+        at = {r["doc_id"]: r["shard"] for r in got.collect()}
+        sizes = np.bincount(list(at.values()), minlength=8)
+        assert sizes.max() - sizes.min() <= 1
+        told = sharding.cut_links(got, links).first()
+        assert (told["links"], told["cut"]) == (len(pairs), sum(at[a] != at[b] for a, b in pairs))
+        cut.append(told["cut"] / len(pairs))
+    assert cut[0] > 0.8 and cut[1] < 0.35
+
+
+def test_grants_keep_sizes():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = 4
+        asked = {s * n + t: int(rng.integers(0, 30)) for s in range(n) for t in range(n) if s != t}
+        room = rng.integers(-3, 20, n).tolist()
+        got = sharding._grants(asked, room)
+        assert all(0 <= g <= asked.get(w, 0) for w, g in enumerate(got))
+        for s in range(n):
+            assert sum(got[t * n + s] for t in range(n)) - sum(got[s * n + t] for t in range(n)) <= max(0, room[s])
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
     from pagemill.llm import line_dedup, mixing, simhash, toxicity
@@ -208,3 +304,21 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = staged(p.mix_sources(spark, single, sf_dir), "t")
     assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.mix(single).where("kept").collect()}
     assert p.encode(spark, mixed, sf_dir).count() == mixed.count()
+
+
+def test_pipeline_odd_rows(spark, sf_dir):
+    import corpus_pipeline as p
+    from pagemill.llm._common import staged
+
+    rows = [(None, "null id text with some words"), (1, None), (2, ""), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "quite other words of the same id number"), (6, "a b c d e f g h"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    lines = staged(p.drop_repeated_lines(spark, docs, sf_dir), "t")
+    assert lines.columns == docs.columns and lines.count() == len(rows)
+    single = p.drop_near_duplicates(spark, docs, sf_dir)
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in single.collect())
+    assert got == [(-1, "null id text with some words"), (1, ""), (5, "a b c d e f g h"), (5, "quite other words of the same id number")]
+    mixed = p.mix_sources(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and mixed.count() <= len(rows)
+    empty = docs.where("false")
+    for stage in (p.drop_repeated_lines, p.drop_near_duplicates, p.mix_sources, p.encode):
+        assert stage(spark, empty, sf_dir).count() == 0
