@@ -32,7 +32,7 @@ from pagemill.llm._common import ship
 #: A boundary falls at one white-space position in this many, on average.
 CHUNK_WORDS = 32
 #: Characters that each cache may hold.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 10_000_000
 #: A private-use character that texts hardly hold; words that do are encoded alone.
 MARK = "\ue000"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,6 +100,7 @@ class ChunkCodec:
         self.parted = all(ids == [i for w in self._encode(p.split()) for i in w] for p, ids in zip(PROBES, self._encode(list(PROBES)), strict=True))
         self.whole: dict[str, list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        self.old: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[str, tuple[int, str, str, str, str]] = {}
         self.joins: set[tuple[str, str]] = set()
         self.held = [0, 0, 0]
@@ -132,16 +133,21 @@ class ChunkCodec:
             yield ids[start:]
 
     def _learn_words(self, texts: list[str]) -> None:
-        known = self.words
+        """Know all words of ``texts``. A full cache becomes the old one, from which words that occur again are taken back."""
         need = set()
         for t in texts:
             need.update(t.replace("\n", " ").split(" "))
-        fresh = [w for w in need if w not in known]
-        self.held[0] += sum(map(len, fresh)) + 30 * len(fresh)
-        if self.held[0] > self.cache_chars:
-            known.clear()
-            fresh = list(need)
-            self.held[0] = sum(map(len, fresh)) + 30 * len(fresh)
+        for _ in range(2):
+            known, old = self.words, self.old
+            missing = [w for w in need if w not in known]
+            size = sum(map(len, missing)) + 30 * len(missing)
+            if self.held[0] + size <= self.cache_chars or not known:
+                break
+            self.old, self.words, self.held[0] = known, {}, 0
+        self.held[0] += size
+        back = [(w, old[w]) for w in missing if w in old]
+        known.update(back)
+        fresh = [w for w in missing if w not in known] if back else missing
         digits = self.digits
         for w, ids in zip(fresh, self._entries(fresh), strict=True):
             known[w] = (len(ids), " ".join([digits[i] for i in ids]), self.decoded(ids))
