@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,16 +70,41 @@ class Throttle:
 CIRCUIT_SCHEMA = "provider string, state string, failures long, successes long, refused long, opened_at long"
 
 
+def _folded(events: DataFrame, order: list[str], fresh: Callable[[], Any], step: Callable[[Any, tuple], Any], result: Callable[[Any], list], schema: str) -> DataFrame:
+    """One row per provider: ``result`` of the state after all its events (columns ``order``), step by step in that order.
+
+    Events are sorted within partitions and pass by in batches, so a history
+    of any length takes no more memory than a batch.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, at, done = None, None, []
+        for f in frames:
+            for row in f.itertuples(index=False):
+                if at is None or row[0] != key:
+                    if at is not None:
+                        done.append([key, *result(at)])
+                    key, at = row[0], fresh()
+                at = step(at, tuple(row)[1:])
+            if done:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if at is not None:
+            yield pd.DataFrame([[key, *result(at)]], columns=names)
+
+    rows = events.select("provider", *order).repartition("provider").sortWithinPartitions("provider", *order)
+    return rows.mapInPandas(run, schema)
+
+
 def circuit_states(events: DataFrame, threshold: int = 5, reset_ms: int = 300_000, half_open: int = 2) -> DataFrame:
-    """State of each provider's circuit after its events (provider, ts_ms, success), in order of time."""
+    """State of each provider's circuit after its events (provider, ts_ms, seq, success), in order of time."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, refused = Circuit(), 0
-        for ts, ok in pdf.sort_values(["ts_ms", "seq"])[["ts_ms", "success"]].itertuples(index=False):
-            refused += not c.step(int(ts), bool(ok), threshold, reset_ms, half_open)
-        return pd.DataFrame([[pdf["provider"].iloc[0], c.state, c.failures, c.successes, refused, c.opened_at]], columns=["provider", "state", "failures", "successes", "refused", "opened_at"])
+    def step(at: tuple[Circuit, int], row: tuple) -> tuple[Circuit, int]:
+        ts, _, ok = row
+        return at[0], at[1] + (not at[0].step(int(ts), bool(ok), threshold, reset_ms, half_open))
 
-    return events.select("provider", "seq", "ts_ms", "success").groupBy("provider").applyInPandas(fold, CIRCUIT_SCHEMA)
+    return _folded(events, ["ts_ms", "seq", "success"], lambda: (Circuit(), 0), step, lambda at: [at[0].state, at[0].failures, at[0].successes, at[1], at[0].opened_at], CIRCUIT_SCHEMA)
 
 
 def reset(states: DataFrame, providers: DataFrame | None = None) -> DataFrame:
@@ -92,10 +119,8 @@ def reset(states: DataFrame, providers: DataFrame | None = None) -> DataFrame:
 def throttle_delays(events: DataFrame) -> DataFrame:
     """Delay of each provider after its responses (provider, seq, status)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Throttle()
-        for status in pdf.sort_values("seq")["status"]:
-            t.step(int(status))
-        return pd.DataFrame([[pdf["provider"].iloc[0], round(t.delay, 6), t.refused, t.stopped]], columns=["provider", "delay_ms", "refused_in_a_row", "stopped"])
+    def step(at: Throttle, row: tuple) -> Throttle:
+        at.step(int(row[1]))
+        return at
 
-    return events.select("provider", "seq", "status").groupBy("provider").applyInPandas(fold, "provider string, delay_ms double, refused_in_a_row long, stopped boolean")
+    return _folded(events, ["seq", "status"], Throttle, step, lambda t: [round(t.delay, 6), t.refused, t.stopped], "provider string, delay_ms double, refused_in_a_row long, stopped boolean")

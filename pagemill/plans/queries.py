@@ -80,10 +80,11 @@ def _first_urls(d: Dialect) -> str:
 
 @rule
 def static_catalog(d: Dialect) -> str:
-    """Per page, URLs by server, the first eight of each, with their count."""
+    """Per page, URLs by server, the first eight of each, with their count; servers of most URLs first."""
     named = f"SELECT *, {U.domain(d, 'url')} AS dom FROM ({U.classified(d, f'({_first_urls(d)}) s_f')}) s_c"
     ranked = f"SELECT *, row_number() OVER (PARTITION BY page_id, server ORDER BY seq) AS rn FROM (SELECT *, {U.server_name(d, 'dom')} AS server FROM ({named}) s_n) s_s"
-    return f"SELECT page_id, server, {d.first('dom', 'seq')} AS domain, count(*) AS n_urls, {d.joined('url', ' ', 'seq')} AS urls, {d.joined('type', ' ', 'seq')} AS types FROM ({ranked}) s_r WHERE rn <= 8 GROUP BY page_id, server"
+    grouped = f"SELECT page_id, server, {d.first('dom', 'seq')} AS domain, count(*) AS n_urls, min(seq) AS first_seq, {d.joined('url', ' ', 'seq')} AS urls, {d.joined('type', ' ', 'seq')} AS types FROM ({ranked}) s_r WHERE rn <= 8 GROUP BY page_id, server"
+    return f"SELECT page_id, server, domain, n_urls, urls, types, row_number() OVER (PARTITION BY page_id ORDER BY n_urls DESC, first_seq) AS rank FROM ({grouped}) s_g"
 
 
 @rule
@@ -244,9 +245,11 @@ def pipeline_dedup(d: Dialect) -> str:
 
 @rule
 def catalog_dedup(d: Dialect) -> str:
-    """Per server the first URL of each 30-letter fingerprint, eight at most."""
+    """Per server the first URL of each 30-letter fingerprint, eight at most, with label, type, quality and language, and the server's size."""
     one = f"SELECT *, row_number() OVER (PARTITION BY server, fp ORDER BY seq) AS rn FROM (SELECT *, substr({U.catalog_fingerprint(d, 'url')}, 1, 30) AS fp FROM ({_normal(d)}) s_n) s_f"
-    return f"SELECT server, page_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY seq) AS rank FROM ({one}) s_o WHERE rn = 1) s_r WHERE rank <= 8"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY server ORDER BY seq) AS rank FROM ({one}) s_o WHERE rn = 1"
+    kept = f"SELECT server, page_id, rank, {d.extract('labels', '^([^|]*)')} AS label, type, quality, language FROM ({ranked}) s_r WHERE rank <= 8"
+    return f"SELECT *, count(*) OVER (PARTITION BY server) AS size FROM ({kept}) s_k"
 
 
 @rule

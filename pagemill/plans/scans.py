@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules as R
+from pagemill.functions import urls as U
 from pagemill.functions.dialect import SPARK, Dialect
 from pagemill.operators import graph
 from pagemill.plans import queries as Q
@@ -129,13 +130,26 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages met from a root in three steps, in four where three server pages are among them; addresses that differ in a last number are one."""
+    """Pages met from a root in three steps, in four where three server pages are among them; addresses that differ in a last number are one."""
     edges = Q.run("nav_edges", spark, sf_dir).withColumnRenamed("user_id", "graph")
     servers = Q.run("nav_counts", spark, sf_dir).where("servers > 0").select(F.col("user_id").alias("graph"), "url")
     roots = edges.select("graph", F.concat(F.lit("http://u"), F.col("graph").cast("string"), F.lit(".example.com/")).alias("url")).distinct()
     return graph.explore(edges, roots, servers)
 
 
+def quick_investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's live URLs without ads, as a server catalog: of each server the first eight that differ in thirty letters of their fingerprint."""
+    ship(spark)
+    view = f"quick_urls_{next(_VIEWS)}"
+    dom.scan(media.media_pages(spark, sf_dir), "live_urls").withColumn("context", F.lit("")).createOrReplaceTempView(view)
+    d = SPARK
+    named = f"SELECT *, {U.server_name(d, U.domain(d, 'url'))} AS server FROM ({U.classified(d, f'(SELECT * FROM {view} WHERE NOT {d.like("lower(url)", R.AD_HOSTS)}) q_u')}) q_c"
+    one = f"SELECT *, row_number() OVER (PARTITION BY page_id, server, fp ORDER BY seq) AS rn FROM (SELECT *, substr({U.catalog_fingerprint(d, 'url')}, 1, 30) AS fp FROM ({named}) q_n) q_f"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY page_id, server ORDER BY seq) AS rank FROM ({one}) q_o WHERE rn = 1"
+    kind = "CASE WHEN type = 'unknown' THEN 'other' ELSE type END"
+    return spark.sql(f"SELECT page_id, server, count(*) AS n_urls, {d.joined('url', ' ', 'seq')} AS urls, {d.joined(kind, ' ', 'seq')} AS types FROM ({ranked}) q_r WHERE rank <= 8 GROUP BY page_id, server")
+
+
 def _store(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return stores.STORES[name](spark, sf_dir)
@@ -159,5 +173,6 @@ QUERIES: dict[str, Query] = {
     "resolved_embeds": resolved_embeds,
     "redirect_chains": redirect_chains,
     "exploration": exploration,
+    "quick_investigation": quick_investigation,
     **{f"store_{name}": _store(name) for name in stores.STORES},
 }

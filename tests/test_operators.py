@@ -121,6 +121,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["provider"]: r for r in spark.table("circuits").collect()} == want
 
 
+def test_messages_of_a_stream(spark, tmp_path):
+    import json
+
+    from pagemill.streaming import events
+
+    steps = spark.createDataFrame([("navigate", "http://a", 1), ("content-servers", "http://b", 3), ("done", "", 5), ("dive", "http://c", 2)], "action string, target string, ts long").coalesce(1)
+    steps.write.parquet(str(tmp_path / "in"))
+    sent = []
+    q = events.broadcast(spark.readStream.schema(steps.schema).parquet(str(tmp_path / "in")), sent.extend, str(tmp_path / "cp"), most=3)
+    q.processAllAvailable()
+    q.stop()
+    assert [json.loads(m)["event"] for m in sent] == ["step", "step", "url-found", "complete"]
+    assert json.loads(json.loads(sent[0])["data"]) == {"action": "navigate", "target": "http://a"}
+
+
 def test_entry_and_names():
     import __spark_entry__ as e
 

@@ -294,7 +294,7 @@ def test_circuit_reset(spark):
     assert got == {"a": ("closed", 0), "b": ("open", 5)} and {r["state"] for r in state.reset(states).collect()} == {"closed"}
 
 
-@pytest.mark.parametrize("name", [n for n in scans.QUERIES if n.startswith(("scan_", "url_", "resolved", "redirect", "exploration", "extracted"))])
+@pytest.mark.parametrize("name", [n for n in scans.QUERIES if n.startswith(("scan_", "url_", "resolved", "redirect", "exploration", "extracted", "quick"))])
 def test_scan_queries_find_something(spark, sf_dir, name):
     assert scans.QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
