@@ -26,7 +26,7 @@ from pagemill.llm.graph import connected_components, merge
 from pagemill.llm.vectors import dimension, matrix, unit, usable
 
 #: Rows of a block; a task holds two.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 TILE_ROWS = 1024
 #: Leading dimensions that are accumulated before the bound is tested.
 LEAD = 16
