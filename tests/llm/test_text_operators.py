@@ -189,6 +189,15 @@ def test_hot_tokens_and_repeated_rows(docs):
     assert sum(1 in g[0] for d, g in got.items() if d >= 0) > 130
 
 
+def test_marked_cells(spark):
+    """Every marked hash is found, and few others by chance, in a table of a quarter byte a cell."""
+    ids = spark.range(1000).select(line_dedup.F.xxhash64("id").alias("i"))
+    table = line_dedup._marked(ids, size := line_dedup._cells(64 * 1000))
+    assert len(table) == size // 4 and max(table) < 128
+    found = spark.range(20_000).select("id", line_dedup._is_marked(table, line_dedup.F.xxhash64("id")).alias("m")).where("m").collect()
+    assert {r["id"] for r in found} >= set(range(1000)) and len(found) < 1000 + 2 * 19_000 * 1000 / size
+
+
 def test_lines_odd_rows(docs):
     rows = [*ODD, (7, "one two three four five\nx\nFIVE four three two one"), (8, "one two three four five six")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
