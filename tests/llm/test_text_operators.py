@@ -198,6 +198,18 @@ def test_marked_cells(spark):
     assert {r["id"] for r in found} >= set(range(1000)) and len(found) < 1000 + 2 * 19_000 * 1000 / size
 
 
+def test_plans_with_tables_are_kept_short(spark):
+    """The driver keeps descriptions of a thousand plans, in which a table of a megabyte takes two."""
+    from pagemill.session import staged
+
+    table, key = bytes(range(128)) * 8192, "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    assert staged(spark.range(10).select((line_dedup._cell(table, line_dedup.F.col("id")) + line_dedup.F.col("id")).alias("x")), "short").count() == 10
+    kept = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert max(len(kept.apply(i).physicalPlanDescription()) for i in range(max(0, kept.size() - 4), kept.size())) < 100_000
+    assert spark.conf.get(key) == before
+
+
 def test_lines_odd_rows(docs):
     rows = [*ODD, (7, "one two three four five\nx\nFIVE four three two one"), (8, "one two three four five six")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
