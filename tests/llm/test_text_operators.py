@@ -396,6 +396,39 @@ def test_lm_against_brute_force(docs):
         assert sum(mix[bucket(a)] @ parts(a, b, every, b_all, c_all, n_all) for b in [*c_all, None]) == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("frequent", [500, 3000])
+def test_lm_bigrams_of_rare_words(docs, monkeypatch, frequent):
+    """Words beyond those that travel have bigrams and contexts of their own, exactly counted."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    pick = lambda: " ".join(f"w{k} v{k}" for k in (rng.zipf(1.1, 20) + rng.integers(0, 900, 20)) % 2500)
+    rows = [(i, pick()) for i in range(500)]
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in rows}
+    texts = {i: [*t.split(), ""] for i, t in rows}
+    pairs = lambda ids: collections.Counter(p for i in ids for p in zip(["", *texts[i]], texts[i], strict=False))
+    every, held = pairs([i for i in texts if fold[i] != 0]), pairs([i for i in texts if fold[i] == 1])
+    own, out = collections.Counter(), collections.Counter()
+    for (_, b), n in every.items():
+        own[b] += n
+    for (_, b), n in held.items():
+        out[b] += n
+    assert len(own) > lm.OWN
+    bucket = lambda a: min(lm.BUCKETS - 1, int(math.log2(max(own[a], 1))) // 2)
+
+    def parts(a, b, off):
+        o, h = (out, held) if off else (collections.Counter(), collections.Counter())
+        left = own[b] - o[b]
+        return [(every[a, b] - h[a, b]) / max(own[a] - o[a], 1) if left else 0.0, left / (sum(own.values()) - sum(o.values())), 1 / (len(own) + 1), float(not left)]
+
+    mix = lm.em(np.array(list(held.values()), float), np.array([bucket(a) for a, _ in held]), np.array([parts(a, b, True) for a, b in held]))
+    got = {r["doc_id"]: r for r in lm.score_documents(docs(rows), ~lm.held_out(), lm.F.pmod(lm.id_crc("doc_id"), lm.F.lit(10)) == 1).collect()}
+    for i, ws in texts.items():
+        want = sum(math.log10(mix[bucket(a)] @ parts(a, b, False)) for a, b in zip(["", *ws], ws, strict=False))
+        assert got[i]["score"] == pytest.approx(want, rel=0.01)  # the mixture is learned from rounded estimates
+        assert got[i]["n_known"] == sum(own[w] > 0 for w in ws)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((own[w] + 0.1) / (sum(own.values()) + 0.1 * (len(own) + 1))) for w in ws), rel=1e-9)
+
+
 def test_lm_odd_rows(docs):
     rows = [*ODD, (5, "another text of id five")]
     got = lm.score_documents(docs(rows), lm.F.lit(True), lm.F.lit(False)).collect()
