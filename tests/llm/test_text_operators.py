@@ -3,6 +3,7 @@
 import collections
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,6 +211,16 @@ def test_plans_with_tables_are_kept_short(spark):
     assert spark.conf.get(key) == before
 
 
+def test_staged_tables_have_no_checksum_files(spark):
+    from pagemill.session import staged
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    for few in (False, True):
+        path = Path(staged(spark.range(0, 1000, 1, 4), "plain", few=few)._pagemill_path.removeprefix("file://"))
+        assert len(list(path.glob("*.parquet"))) == 4 and not list(path.rglob("*.crc"))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") == before
+
+
 def test_lines_odd_rows(docs):
     rows = [*ODD, (7, "one two three four five\nx\nFIVE four three two one"), (8, "one two three four five six")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
