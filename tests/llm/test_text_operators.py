@@ -211,6 +211,28 @@ def test_plans_with_tables_are_kept_short(spark):
     assert spark.conf.get(key) == before
 
 
+def test_cells_are_read_by_checksum(spark):
+    table = line_dedup._BYTES * 4096
+    got = spark.range(1024).select("id", line_dedup._level(table, line_dedup.F.col("id")).alias("n")).collect()
+    assert all(r["n"] == r["id"] % 128 for r in got)
+    counts = spark.createDataFrame([(i * 4099, i) for i in range(1, 128)], "i int, level int")
+    packed = line_dedup._packed(counts, 1 << 20, line_dedup._BYTES)
+    assert [packed[i * 4099] for i in range(128)] == list(line_dedup._BYTES) and packed.count(line_dedup._BYTES[0]) == (1 << 20) - 127
+
+
+def test_documents_without_needed_lines_are_not_cut(docs):
+    from pagemill.session import staged
+
+    d = docs([(i, f"a{i} b{i}\tC\n\x0bd {i}\re") for i in range(400)])
+    ver = line_dedup.versions(d)
+    lines = line_dedup.token_lines(line_dedup.lines_of(d, ver), line_dedup.rarity_table(d), 0.8)
+    needed = staged(line_dedup.classes_of(lines.where("doc_id IN (7, 8)")).select("sig", "at"), "needed")
+    rows = line_dedup._whole_sets(d, ver, needed)
+    assert sorted((r["at"]["doc_id"], r["at"]["line"], len(r["toks"])) for r in rows.collect()) == [(7, 0, 3), (7, 1, 3), (8, 0, 3), (8, 1, 3)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "ascii" in plan[plan.index("Generate posexplode") :]
+
+
 def test_staged_tables_have_no_checksum_files(spark):
     from pagemill.session import staged
 
