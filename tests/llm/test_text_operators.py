@@ -220,6 +220,22 @@ def test_cells_are_read_by_checksum(spark):
     assert [packed[i * 4099] for i in range(128)] == list(line_dedup._BYTES) and packed.count(line_dedup._BYTES[0]) == (1 << 20) - 127
 
 
+def test_events_of_staged_plans_hold_no_tables(spark):
+    """Each node's description goes into the event log and stays with the driver; limits of a plan's text don't hold it."""
+    from pagemill.session import staged
+
+    table, key = bytes(range(128)) * 8192, "spark.sql.debug.maxToStringFields"
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = lambda: {e.apply(i).executionId() for e in [store.executionsList()] for i in range(e.size())}
+    before, old = spark.conf.get(key), known()
+    col = line_dedup.F.col("id")
+    df = spark.range(10).where(line_dedup._is_marked(table, col) | (col >= 0)).select((line_dedup._cell(table, col) + col).alias("x"))
+    staged(df, "short")
+    nodes = [n.apply(i) for e in known() - old for n in [store.planGraph(e).allNodes()] for i in range(n.size())]
+    assert nodes and max(len(n.desc()) for n in nodes) < 10_000
+    assert spark.conf.get(key) == before
+
+
 def test_documents_without_needed_lines_are_not_cut(docs):
     from pagemill.session import staged
 
