@@ -236,6 +236,27 @@ def test_events_of_staged_plans_hold_no_tables(spark):
     assert spark.conf.get(key) == before
 
 
+def test_tokens_sort_by_level_and_stay_apart(spark):
+    table = line_dedup._BYTES * 4096
+    h = line_dedup.F.xxhash64("id")
+    rows = spark.range(5000).select(h.alias("h"), line_dedup._level(table, h).alias("n"), line_dedup._token(table, h).alias("t")).collect()
+    assert all(r["t"] >> 56 == r["n"] == (r["h"] & (len(table) - 1)) % 128 for r in rows)
+    assert len({r["t"] for r in rows}) == len({(r["h"] & (1 << 64) - 1) >> 8 for r in rows})
+
+
+def test_line_breaks_are_not_replaced(docs):
+    """Cutting at them is cheaper; other white space still parts words, and is counted so."""
+    d = docs([(0, "a b\nC\td\x0be\x0cf\rg"), (1, "a\n\nB"), (2, None), (3, "")])
+    table = line_dedup.rarity_table(d)
+    level = lambda n: line_dedup._BYTES[n]  # noqa: E731  round(2 log2(count + 1)): 3 for two, 2 for one
+    cells = collections.Counter(b for b in table if b != level(0))
+    assert cells[level(3)] == 3 and cells[level(2)] == 5  # the empty word is counted too
+    words = {r["line"]: [w for w in r["words"] if w] for r in line_dedup.lines_of(d, line_dedup.F.lit(0).cast("long")).where("doc_id = 0").collect()}
+    assert words == {0: ["a", "b"], 1: ["c", "d", "e", "f", "g"]}
+    plan = line_dedup.summary(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(text" not in plan
+
+
 def test_documents_without_needed_lines_are_not_cut(docs):
     from pagemill.session import staged
 
