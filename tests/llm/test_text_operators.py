@@ -506,6 +506,43 @@ def test_lm_odd_rows(docs):
     assert next(r["n_tokens"] for r in got if r["doc_id"] == 4) == 30_001 and all(math.isfinite(r["score"]) and r["n_known"] == r["n_tokens"] for r in got)
 
 
+def test_lm_packed_arrays_and_words():
+    rng = np.random.default_rng(12)
+    for n in ([], [0], [255, 256], [1 << 40, 3], rng.integers(0, 1 << 62, 1000)):
+        assert lm._unpack(lm._pack(np.array(n, np.int64))).tolist() == list(n)
+    for keys in ([], [7], [0, (1 << 64) - 1], np.unique(rng.integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2))):
+        keys = np.array(keys, np.uint64)
+        got = lm._unpack_keys(lm._pack_keys(keys))
+        assert got.dtype == np.uint64 and got.tolist() == keys.tolist()
+    texts = [" A b\x0bÉc\x1cd ", "", None, "\t\n", "x\u3000y\r\fz"]
+    words, sizes = lm.words_of(lm.pa.array(texts))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in (t or "").encode().lower().split()] and sizes.tolist() == [3, 0, 0, 0, 2]
+
+
+@pytest.mark.parametrize("tokens, size", [(1, 64), (200, 1 << 20)])
+def test_lm_texts_are_cut_once_and_chunks_do_not_matter(docs, monkeypatch, tokens, size):
+    """Chunks of one document or of many, over one range of keys or many, give the same; and no text is cut again for another pass."""
+    rng = np.random.default_rng(15)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 12) % 300)) for i in range(120)]
+    score = lambda: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 8), round(r["score"], 8)) for r in lm.score_documents(docs(rows), ~lm.held_out(), lm.F.pmod(lm.id_crc("doc_id"), lm.F.lit(10)) == 1).collect())
+    want = score()
+    cut, walk = [], lm.walk
+    monkeypatch.setattr(lm, "TOKENS", tokens)
+    monkeypatch.setattr(lm, "RANGE_BYTES", size)
+    monkeypatch.setattr(lm, "walk", lambda rows, ranges: cut.append(ranges) or walk(rows, ranges))
+    assert score() == want and len(cut) == 1 and (cut[0] > 50) == (size == 64)
+
+
+def test_lm_mixture_in_steps(docs, monkeypatch):
+    """Steps of estimates stand for their means, so the mixture is nearly that of all estimates as they are."""
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 25) % 400)) for i in range(300)]
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.score_documents(docs(rows), ~lm.held_out(), lm.F.pmod(lm.id_crc("doc_id"), lm.F.lit(10)) == 1).collect()}
+    exact = score()
+    monkeypatch.setattr(lm, "EXACT_EVENTS", 0)
+    assert score() == pytest.approx(exact, rel=1e-3)
+
+
 def test_lm_without_training(docs):
     got = lm.score_documents(docs([(1, "a b"), (2, None)]), lm.F.lit(False), lm.F.lit(False)).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"], round(r["score"], 9)) for r in got} == {(0, 0, 0.0, 0.0)}
