@@ -257,6 +257,30 @@ def test_line_breaks_are_not_replaced(docs):
     assert "replace(text" not in plan
 
 
+def test_lines_are_cut_once_for_counting_and_ordering(docs, monkeypatch):
+    """Both read staged hashes, which go before postings are dealt out; a word counts once for each line."""
+    names, gone, cut = [], [], []
+    stage, unstage, lines_of = line_dedup.staged, line_dedup.unstaged, line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name, *a, **b: (names.append(name), stage(df, name, *a, **b))[1])
+    monkeypatch.setattr(line_dedup, "unstaged", lambda *t: (gone.append((len(names), len(t))), unstage(*t))[1])
+    monkeypatch.setattr(line_dedup, "lines_of", lambda *a: (cut.append(1), lines_of(*a))[1])
+    d = docs([(0, "a a A a  b\n\nc d e f g"), (1, "g f e d c"), (2, None)])
+    assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.summary(d).collect()} == {0: [], 1: [0], 2: []}
+    assert names[:3] == ["hashes", "lines", "classes"] and gone[0] == (2, 1) and len(cut) == 1
+    cells = collections.Counter(line_dedup.rarity_table(d))
+    assert cells[line_dedup._BYTES[2]] == 2 and cells[line_dedup._BYTES[3]] == 6  # a and b stand in one line; c to g and the empty word in two
+
+
+def test_hub_is_the_earliest_posting(spark):
+    """Of a token's postings, those similar to its first by document and class meet that one only."""
+    rows = [(9, 5), (4, -3), (4, 7), (-2, 8), (-2, -8), (6, 1)]
+    classes = spark.createDataFrame([((doc, 0, 0), sig, 20, 0, 0, [17]) for doc, sig in rows], "at struct<doc_id: long, ver: long, line: int>, sig long, m int, s0 long, s1 long, prefix array<int>")
+    got = sorted((r["late"], r["early"], r["short"]) for r in line_dedup.candidates(classes, 0.8).collect())
+    short = [(sig, -8, True) for _, sig in sorted(rows, key=lambda x: x[1]) if sig != -8]
+    assert [x for x in got if x[2]] == short and all(x == (-8, 8, False) for x in got if not x[2])
+    assert "doc#" not in next(x for x in line_dedup.candidates(classes, 0.8)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x).rpartition("[tok#")[2]
+
+
 def test_documents_without_needed_lines_are_not_cut(docs):
     from pagemill.session import staged
 
