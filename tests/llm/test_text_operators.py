@@ -271,6 +271,25 @@ def test_lines_are_cut_once_for_counting_and_ordering(docs, monkeypatch):
     assert cells[line_dedup._BYTES[2]] == 2 and cells[line_dedup._BYTES[3]] == 6  # a and b stand in one line; c to g and the empty word in two
 
 
+def test_ordering_reads_words_only_and_sorts_numbers(docs, monkeypatch):
+    """The empty string goes when hashes are staged, where that is compiled; tokens can't be null to Spark, and counting's settings don't stay."""
+    plans, conf, stage = {}, {}, line_dedup.staged
+    d = docs([(0, "a  b\n\nc d e f g"), (1, "g f e d c"), (2, None)])
+    key = line_dedup._SPLIT
+    before, packed = d.sparkSession.conf.get(key), line_dedup._packed
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name, *a, **b: (plans.setdefault(name, df), stage(df, name, *a, **b))[1])
+    monkeypatch.setattr(line_dedup, "_packed", lambda cells, *a: (conf.setdefault("read", cells.sparkSession.conf.get(key)), packed(cells, *a))[1])
+    d.sparkSession.conf.set(key, "16m")
+    try:
+        assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.summary(d).collect()} == {0: [], 1: [0], 2: []}
+        assert conf["read"] == str(line_dedup.SPLIT_BYTES) and d.sparkSession.conf.get(key) == "16m"
+    finally:
+        d.sparkSession.conf.set(key, before)
+    assert sorted(len(r["hashes"]) for r in plans["hashes"].collect()) == [0, 2, 5, 5]
+    plan = plans["lines"]._jdf.queryExecution().analyzed().toString()
+    assert "array_remove" not in plan and "coalesce" in plan
+
+
 def test_hub_is_the_earliest_posting(spark):
     """Of a token's postings, those similar to its first by document and class meet that one only."""
     rows = [(9, 5), (4, -3), (4, 7), (-2, 8), (-2, -8), (6, 1)]
